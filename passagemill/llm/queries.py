@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .near_join import JaccardJoin
+from .packing import pack
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +23,22 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op8_jaccard_join": op8_jaccard_join}
+def byte_bpe() -> str:
+    """Path of the public byte-level BPE vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 1024 tokens; one row per piece."""
+    return pack(table(spark, sf_dir, "documents"), byte_bpe, size=1024, end_id=0)
+
+
+QUERIES = {
+    "op6_sum_of_squares": op6_sum_of_squares,
+    "op8_jaccard_join": op8_jaccard_join,
+}
 
 ORACLES = {
     "op8_jaccard_join": r"""
@@ -32,8 +48,8 @@ s AS (
   SELECT DISTINCT doc_id, CASE WHEN len(x) < 3 THEN array_to_string(x, ' ') ELSE x[i] || ' ' || x[i + 1] || ' ' || x[i + 2] END AS g
   FROM (SELECT doc_id, x, unnest(range(1, greatest(len(x) - 1, 2))) AS i FROM w WHERE len(x) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-links AS (SELECT a, b FROM both JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 90 * (p.n + q.n - k)),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 90 * (p.n + q.n - k)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)""",
