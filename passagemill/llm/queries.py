@@ -8,9 +8,12 @@ others are tested against brute force in tests/llm.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import html_text, licenses, quality, url_filter, warc
 from .near_join import JaccardJoin
 from .packing import pack
+from .workspace import Workspace
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,17 +33,69 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 1024 tokens; one row per piece."""
     return pack(table(spark, sf_dir, "documents"), byte_bpe, size=1024, end_id=0)
 
 
+def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and learned verdict of every document."""
+    counts = Workspace(spark, "quality").write(quality.measure(table(spark, sf_dir, "documents")), "counts")
+    rules = quality.fit(counts, table(spark, sf_dir, "labels"))
+    return quality.judge(counts, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op3_shift_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, site rule and verdict of every page's url."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op7_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back as a capture."""
+    back = warc.captures(table(spark, sf_dir, "pages"))
+    return back.select(
+        "metadata.page_id",
+        "metadata.payload_bytes",
+        F.col("response.digest").alias("payload_digest"),
+        F.col("response.kind").alias("record_type"),
+        F.col("metadata.refers_to_page").alias("refers_to"),
+    )
+
+
 QUERIES = {
+    "op2_decision_list": op2_decision_list,
+    "op3_shift_and": op3_shift_and,
+    "op4_tree_scoring": op4_tree_scoring,
     "op6_sum_of_squares": op6_sum_of_squares,
+    "op7_sentence_rules": op7_sentence_rules,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_transactions": op9_transactions,
 }
 
+_BLOCKED = " OR ".join(f"host LIKE '{g.replace('*', '%')}'" for g in url_filter.BLOCKED_HOSTS)
+
 ORACLES = {
+    "op7_sentence_rules": licenses.oracle(),
+    "op3_shift_and": rf"""
+WITH r AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+q AS (SELECT *, '.' || host AS h FROM p),
+m AS (SELECT page_id, host, path, CASE
+  WHEN h LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
+  WHEN h LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+  WHEN h LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
+  WHEN h LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule FROM q)
+SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN {_BLOCKED} THEN 'block' ELSE 'allow' END AS verdict FROM m""",
     "op8_jaccard_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS x FROM documents),
