@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, licenses, quality, url_filter, warc
+from . import decontaminate, html_text, licenses, pii, quality, toxicity, url_filter, warc
 from .near_join import JaccardJoin
 from .packing import pack
 from .workspace import Workspace
@@ -38,11 +38,22 @@ def op4_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; labels of held-out rows are not learned from."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 1024 tokens; one row per piece."""
     return pack(table(spark, sf_dir, "documents"), byte_bpe, size=1024, end_id=0)
 
 
+def op1_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, as they are or with other numbers, names and units."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and learned verdict of every document."""
     counts = Workspace(spark, "quality").write(quality.measure(table(spark, sf_dir, "documents")), "counts")
@@ -72,14 +83,22 @@ def op9_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_template_windows": op1_template_windows,
     "op2_decision_list": op2_decision_list,
     "op3_shift_and": op3_shift_and,
     "op4_tree_scoring": op4_tree_scoring,
+    "op5_counterfactual": op5_counterfactual,
     "op6_sum_of_squares": op6_sum_of_squares,
     "op7_sentence_rules": op7_sentence_rules,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_transactions": op9_transactions,
+    "op10_bilstm_crf": op10_bilstm_crf,
 }
 
 _BLOCKED = " OR ".join(f"host LIKE '{g.replace('*', '%')}'" for g in url_filter.BLOCKED_HOSTS)
