@@ -121,7 +121,7 @@ class Model:
         return score
 
 
-def train(rows: list[np.ndarray], toxic: np.ndarray, terms: list[list[str]], groups: list[str], l1: float = 2e-3, counterfactual: float = 5.0, steps: int = 300, most_features: int = 20_000) -> Model:
+def train(rows: list[np.ndarray], toxic: np.ndarray, terms: list[list[str]], groups: list[str], l1: float = 4e-4, counterfactual: float = 5.0, steps: int = 400, most_features: int = 20_000) -> Model:
     """Sparse logistic regression by accelerated proximal gradient steps.
 
     rows: sorted distinct features of each text; terms: identity terms of its sentences.
@@ -209,7 +209,7 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_per_label: int = 5000, groups: list[str] | None = None, **options) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_per_label: int = 4000, groups: list[str] | None = None, **options) -> Model:
     """Train on at most ``most_per_label`` rows of either label that are not held out, by hashed id."""
     groups = IDENTITY if groups is None else groups
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
