@@ -198,6 +198,22 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, terms: list[list[str]], gro
         after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         y, yb = new + (momentum - 1) / after * (new - w), new_b + (momentum - 1) / after * (new_b - b)
         w, b, momentum = new, new_b, after
+    # without the penalty for weights, go on with the features that it left
+    chosen_at = np.flatnonzero(w)
+    active = np.isin(at, chosen_at)
+    owner, at = owner[active], at[active]
+    kept = w != 0
+    first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    for k in range(1, steps // 2 + 1):
+        s = 1 / (1 + np.exp(-np.clip(b + np.bincount(owner, w[at], minlength=n), -60, 60)))
+        err = weight * (s - t)
+        grad = np.bincount(at, err[owner], minlength=len(w)) + 1e-4 * w
+        if len(d_weight):
+            grad += 2 * counterfactual * np.bincount(d_at, d_sign * (d_weight * change(w))[d_row], minlength=len(w))
+        grad = np.append(np.where(kept, grad, 0), err.sum())
+        first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
+        move = 0.1 * (1 - k / (steps // 2 + 1)) * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-9)
+        w, b = np.where(kept, w - move[:-1], 0), b - move[-1]
     margin = b + np.bincount(owner, w[at], minlength=n)
     # scale on the training margins: the penalty for weights shrinks them all
     scale = max(1.0, 4.0 / max(1e-9, float(np.median(np.abs(margin)))))
