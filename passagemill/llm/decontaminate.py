@@ -11,6 +11,7 @@ placeholders must be replaced consistently.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ SHORT = 4  # words from which a shorter item is looked for, as one window
 LITERALS = 5  # words of a window that are no placeholders (all but one of a shorter)
 ENOUGH = 6  # windows in line that show contamination (13 words), or
 SHARE = 0.8  # this share of an item's windows
-CONSISTENT = 0.5  # least share of an item's slot values with one value in the document
+CONSISTENT = 0.5  # least share of an item's repeated slot values with one value in the document
 BROADCAST_WINDOWS = 2_000_000
 KNOWN_CHUNKS = 400_000
 
@@ -186,13 +187,33 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     met = hits.join(F.broadcast(side) if few else side, "hash")
     met = ws.write(met.select(F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "template", "slots", "item_slots"), "met")
     line = ["doc_id", "item_id", "shift"]
-    counts = met.groupBy(*line).agg(F.countDistinct("item_pos").alias("n_windows"), F.bool_and("template").alias("reworded"))
+    counts = met.groupBy(*line).agg(F.countDistinct("item_pos").alias("n_windows"), F.countDistinct(F.when(~F.col("template"), F.col("item_pos"))).alias("n_plain"))
     pairs = met.where("template").select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("v")).select(*line, "v.item_slots", "v.slots").distinct()
+    repeated = items.mapInArrow(_repeated(small), "item_id long, item_slots long").distinct()
+    pairs = pairs.join(F.broadcast(repeated) if few else repeated, ["item_id", "item_slots"], "left_semi")
     slots = pairs.groupBy(*line, "item_slots").agg(F.count("*").alias("values")).groupBy(*line).agg(F.avg((F.col("values") == 1).cast("double")).alias("consistent"))
-    sound = counts.join(slots, line, "left").where(~F.col("reworded") | (F.coalesce("consistent", F.lit(1.0)) >= CONSISTENT))
-    best = sound.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.bool_and("reworded").alias("reworded")).join(F.broadcast(sized) if few else sized, sized["id"] == F.col("item_id")).drop("id")
-    hit = (F.col("n_windows") >= ENOUGH) | (F.col("n_windows") >= F.col("n_item_windows") * SHARE)
-    return best.where(hit).select("doc_id", "item_id", "n_windows", "n_item_windows", "reworded")
+    enough = lambda c: (F.col(c) >= ENOUGH) | (F.col(c) >= F.col("n_item_windows") * SHARE)
+    sized = sized.withColumnRenamed("id", "item_id")
+    lines = counts.join(F.broadcast(sized) if few else sized, "item_id").join(slots, line, "left")
+    sound = lines.where(enough("n_plain") | enough("n_windows") & (F.coalesce("consistent", F.lit(1.0)) >= CONSISTENT))
+    best = sound.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("n_item_windows").alias("n_item_windows"), F.bool_and(~enough("n_plain")).alias("reworded"))
+    return best.select("doc_id", "item_id", "n_windows", "n_item_windows", "reworded")
+
+
+def _repeated(small: frozenset[str]):
+    """(item, value) of placeholders' values that an item has twice or more; only these can be inconsistent."""
+
+    def run(batches):
+        canon = Canon(small)
+        for batch in batches:
+            rows = []
+            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                values = Counter(g[1] for c in (text or "").split() if (g := canon[c])[2])
+                rows += [(ident, v) for v in sorted(values) if values[v] > 1]
+            ids, found = zip(*rows) if rows else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(found, U).view(np.int64))], ["item_id", "item_slots"])
+
+    return run
 
 
 def _counted(batches):
