@@ -17,9 +17,9 @@ of its segments thin keeps all of its keys.
 
 Sets equal as a whole are one class and only its smallest document is indexed.
 A key's documents are compared with the key's smallest document first, and
-only where links leave a key with several components with further ones,
-until every key's documents are of one component or were all compared.
-Candidates pass an exact bound on the symmetric difference (parity bits) and
+only where links leave a key with several components with further ones, block
+by block, until every key's documents are of one component or were all
+compared. Candidates pass an exact bound on the symmetric difference (parity bits) and
 are verified on the shingle sets of their whole texts.
 """
 
@@ -36,6 +36,7 @@ from .textkit import U, mix, shingle_sets
 from .workspace import Workspace
 
 SKETCH = 16  # longs of parity bits
+BLOCK_ROWS = 2048  # documents of a key that are compared with as many in one piece
 BROADCAST_ROWS = 1_000_000  # ids; larger sides are joined by shuffle
 
 
@@ -189,6 +190,59 @@ def _runs(table: pa.Table, after: pa.Table | None, key, leader):
     return k[-1], lead[-1], out
 
 
+def _compare(num: int, den: int, every: bool):
+    """Rows sorted by (key, p, q) to pairs of different components that the parity bits let through."""
+
+    def group(t: pa.Table):
+        own, p = t["own"].to_numpy(), t["p"][0].as_py()
+        first, second = own == p, own == t["q"][0].as_py()
+        ids, c, n = t["id"].to_numpy(), t["c"].to_numpy(), t["n"].to_numpy()
+        bits = np.stack([t[f"s{i}"].to_numpy() for i in range(SKETCH)], 1).view(np.uint64)
+        a, b = np.flatnonzero(first), np.flatnonzero(second)
+        out, joined = [], {}
+
+        def root(x):
+            while x in joined:
+                x = joined[x]
+            return x
+
+        for k in range(0, len(a), 128):
+            i = a[k : k + 128]
+            ok = c[i][:, None] != c[b][None]
+            ok &= (np.minimum(n[i][:, None], n[b]) * den >= np.maximum(n[i][:, None], n[b]) * num) & (ids[i][:, None] != ids[b])
+            x, y = np.nonzero(ok)
+            for s in range(0, len(x), 100_000):
+                u, v = i[x[s : s + 100_000]], b[y[s : s + 100_000]]
+                differ = np.bitwise_count(bits[u] ^ bits[v]).sum(1, dtype=np.int64)
+                good = differ * (den + num) <= (n[u] + n[v]) * (den - num)
+                for e, f in zip(u[good].tolist(), v[good].tolist()):
+                    if not every:
+                        g, h = root(int(c[e])), root(int(c[f]))
+                        if g == h:
+                            continue
+                        joined[max(g, h)] = min(g, h)
+                    out.append((min(ids[e], ids[f]), max(ids[e], ids[f])))
+        return out
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            if not t.num_rows:
+                continue
+            cols = [t[c].to_numpy() for c in ("key", "p", "q")]
+            at = np.flatnonzero(np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in cols])))
+            for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
+                if found := group(t.slice(x, y - x)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(z, np.int64)) for z in zip(*found)], ["a", "b"])
+            held = t.slice(int(at[-1])).combine_chunks()
+        if held is not None and held.num_rows and (found := group(held)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(z, np.int64)) for z in zip(*found)], ["a", "b"])
+
+    return run
+
+
 def _verify(w: int, lower: bool, num: int, den: int):
     def run(batches):
         for batch in batches:
@@ -225,7 +279,11 @@ class JaccardJoin:
         right = sets.select(F.col("doc_id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in side))
         differ = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(SKETCH)), F.lit(0))
         close = (differ * (self.den + self.num) <= (F.col("a_n") + F.col("b_n")) * (self.den - self.num)) & (F.least("a_n", "b_n") * self.den >= F.greatest("a_n", "b_n") * self.num)
-        kept = ws.write(pairs.join(left, "a").join(right, "b").where(close).select("a", "b"), "pairs")
+        return self._exact(pairs.join(left, "a").join(right, "b").where(close).select("a", "b"), docs, ws)
+
+    def _exact(self, pairs: DataFrame, docs: DataFrame, ws: Workspace) -> DataFrame:
+        """Of pairs (a, b), those whose texts reach the threshold."""
+        kept = ws.write(pairs, "pairs")
         need = ws.write(kept.select(F.col("a").alias("doc_id")).unionByName(kept.select(F.col("b").alias("doc_id"))).distinct(), "need")
         texts = ws.write(docs.join(self._narrow(need), "doc_id", "left_semi"), "texts")
         run, schema = _verify(self.words, self.lower, self.num, self.den)
@@ -259,22 +317,35 @@ class JaccardJoin:
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "class_id", "doc_id").alias("component_id"))
 
     def _rest(self, buckets: DataFrame, label: DataFrame, links: DataFrame, heads: DataFrame, docs: DataFrame, ws: Workspace) -> DataFrame:
-        """Compare further pairs of keys that still hold several components."""
-        share = 4
+        """Compare further pairs of keys that still hold several components.
+
+        A key's documents are dealt into blocks, and blocks are compared two at
+        a time on their parity bits. A round passes on as many pairs as would
+        join a block pair's components, and when such a round links nothing,
+        all pairs that the bits let through; if none of these is a link, no
+        link is left.
+        """
+        every = False
         while True:
-            named = buckets.join(label.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+            named = buckets.select("key", "id").distinct().join(label.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
             open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo != hi and size > 2").select("key", "size")
             rows = ws.write(named.join(open_keys, "key"), "open")
-            most = rows.agg(F.max("size")).first()[0]
-            if most is None or share > 4 * most:
+            if rows.isEmpty():
                 ws.drop(rows)
                 return label
-            turn = F.pmod(F.xxhash64("key", "id"), F.lit(1 << 20)) * F.col("size")
-            first = rows.where((turn < share << 20) & ((turn >= share // 4 << 20) if share > 4 else F.lit(True)))
-            a, b = first.select("key", F.col("id").alias("a"), F.col("c").alias("ca")), rows.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-            pairs = a.join(b, "key").where("ca != cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            more = self._links(pairs, heads, docs, ws)
-            links = ws.write(links.unionByName(more).distinct(), "links")
-            label = ws.write(components(links, ws), "components")
+            side = heads.select(F.col("doc_id").alias("id"), "n", *(f"s{i}" for i in range(SKETCH)))
+            blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
+            own = F.pmod(F.xxhash64("id", "key"), blocks).cast("int")
+            dealt = rows.select("key", "id", "c", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+            dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "c").join(side, "id")
+            dealt = dealt.select("key", "p", "q", "own", "id", "c", "n", *(f"s{i}" for i in range(SKETCH)))
+            pairs = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_compare(self.num, self.den, every), "a long, b long").distinct()
+            more = self._exact(pairs, docs, ws)
+            found = not more.isEmpty()
+            if found:
+                links = ws.write(links.unionByName(more).distinct(), "links")
+                label = ws.write(components(links, ws), "components")
             ws.drop(rows, more)
-            share *= 4
+            if every and not found:
+                return label
+            every = not found
