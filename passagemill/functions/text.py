@@ -6,6 +6,7 @@ generated code; positions are code points.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -36,13 +37,7 @@ def normalize(c: Column, variants: Mapping[str, str] | None = None) -> Column:
 
 def nfkc(c: Column) -> Column:
     """NFKC form by an Arrow function; only for sources that may hold other forms."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def form(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFKC")
-
-    return form(c)
+    return F.udf(lambda s: None if s is None else unicodedata.normalize("NFKC", s), "string", useArrow=True)(c)
 
 
 def merge_variants(first: Mapping[str, str], second: Mapping[str, str], third: Mapping[str, str]) -> dict[str, str]:

@@ -4,11 +4,21 @@ from __future__ import annotations
 
 import base64
 import json
+import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The rows checkpointed in the session's shared folder; a temporary one only where none is set."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="passagemill-"))
+    return df.checkpoint()
+
+
 def context_window(df: DataFrame, passage_id: str, before: int = 2, after: int = 2, file: str = "source_rel_path", order: str = "passage_ord_in_file") -> DataFrame:
     """The passage and its neighbours in the same file, with their distance."""
     here = df.where(F.col("passage_id") == passage_id).select(file).distinct()
@@ -72,7 +82,7 @@ def dense_ids(df: DataFrame, key: str = "passage_id", name: str = "doc_id", star
     no task sees all of them; only one count a partition reaches the driver.
     """
     rows = df.select(key).where(F.col(key).isNotNull()).distinct().repartitionByRange(F.col(key)).sortWithinPartitions(key)
-    rows = rows.withColumn("_p", F.spark_partition_id()).checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else rows.withColumn("_p", F.spark_partition_id()).persist()
+    rows = cut(rows.withColumn("_p", F.spark_partition_id()))
     sizes = sorted((r["_p"], r["n"]) for r in rows.groupBy("_p").agg(F.count("*").alias("n")).collect())
     offsets, at = [], start
     for p, n in sizes:

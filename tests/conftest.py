@@ -1,4 +1,6 @@
 import os
+
+os.environ.setdefault("OMP_NUM_THREADS", "1")
 import sys
 import tempfile
 
