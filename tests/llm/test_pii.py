@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from passagemill.llm.pii import KINDS, Detector, Tagger, base_spans, detect, labelled, luhn, redact, redact_docs, regions, tags_of, train
+from passagemill.llm.pii import KINDS, Detector, Tagger, base_spans, detect, labelled, luhn, redact, redact_docs, regions, standard, tags_of, train
 from passagemill.llm.queries import table
 
 SF = "/root/testdata/sf0.001"
@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def model():
-    return train(labelled(700, 3), epochs=4)
+    return standard()
 
 
 def brute(text):
