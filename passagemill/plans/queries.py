@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import context, groups, lexical, search, vectors
+from ..operators import context, evidence, groups, lexical, people, search, vectors
 from ..sources import pages as html_pages
+from ..sources import references
 from ..sources.passages import CHRONOLOGICAL_SQL, PASSAGES_SQL, from_documents
 from .scope import Scope
 
@@ -449,3 +450,89 @@ def normalised(spark, sf):
 def quotes(spark, sf):
     """Quotes around a phrase in the raw text."""
     return passages(spark, sf).select("passage_id", T.quote_for_phrase(F.col("zh_text_raw"), "the ").alias("quote"))
+
+
+# ------------------------------------------------------- people and evidence
+
+_MENTIONS = f""", m AS (SELECT *, list_filter(['PHRASE', 'OTHER'], lambda f: contains({NORM}, f)) AS name_forms FROM p),
+n AS (SELECT passage_id, doc_id, period, period_rank, contains_person, name_forms, list_contains(name_forms, 'PHRASE') AS is_primary FROM m WHERE len(name_forms) > 0)"""
+
+
+@query(_MENTIONS + " SELECT passage_id, name_forms, is_primary, 'name_mention' AS mention_class FROM n")
+def person_mentions(spark, sf):
+    """Passages with any form of a name, each once."""
+    return people.mentions(passages(spark, sf), [PHRASE, OTHER]).select("passage_id", "name_forms", "is_primary", "mention_class")
+
+
+@query(_MENTIONS + ", k AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY doc_id) AS k FROM n) SELECT 'name_mention' AS mention_class, period, count(*) AS n, list(passage_id ORDER BY k) FILTER (WHERE k <= 3) AS samples FROM k GROUP BY 2")
+def person_history(spark, sf):
+    """Mentions by class and period with samples."""
+    return people.history_summary(people.mentions(passages(spark, sf), [PHRASE, OTHER]))
+
+
+@query(_MENTIONS + ", f AS (SELECT period_rank AS r, doc_id AS d FROM n WHERE contains_person ORDER BY 1, 2 LIMIT 1) SELECT d AS doc_id, count(*) FILTER (WHERE period_rank < r OR period_rank = r AND n.doc_id < d) AS earlier_ambiguous FROM n, f GROUP BY d")
+def person_earliest(spark, sf):
+    """Earliest sure mention and the unsure ones before it."""
+    return people.earliest_unambiguous(people.mentions(passages(spark, sf), [PHRASE, OTHER]))
+
+
+@query(f""", h AS (SELECT * FROM p WHERE contains({NORM}, 'PHRASE')), q AS (SELECT period, min(period_rank) AS r FROM h GROUP BY 1)
+SELECT * FROM (SELECT period AS source, lead(period) OVER (ORDER BY r, period) AS target, 'precedes' AS relation FROM q) WHERE target IS NOT NULL UNION ALL SELECT period, passage_id, 'member' FROM h""")
+def timeline_graph(spark, sf):
+    """Periods in order and their passages as edges."""
+    return evidence.timeline_edges(search.hits(passages(spark, sf), PHRASE))
+
+
+@query("WITH i AS (SELECT event_id, event_type, user_id FROM events WHERE user_id < 20) SELECT a.event_id AS source, b.event_id AS target, 'same_seed' AS relation FROM i a JOIN i b ON a.user_id = b.user_id AND a.event_id <> b.event_id WHERE a.event_type = (SELECT min(event_type) FROM events)", False)
+def registry_edges(spark, sf):
+    """Items of one seed linked to its packets."""
+    events = table(spark, sf, "events").where("user_id < 20")
+    first = events.sparkSession.read.parquet(f"{sf}/events.parquet").agg(F.min("event_type").alias("t"))
+    kind = F.when(F.col("event_type") == F.col("t"), "task_packet").otherwise("other")
+    items = events.crossJoin(F.broadcast(first)).select(F.col("event_id").alias("item_id"), kind.alias("kind"), F.col("user_id").alias("seed_passage_id"))
+    return evidence.same_seed(items)
+
+
+# --------------------------------------------------------- sources and vectors
+
+
+@query("WITH s AS (SELECT l_partkey AS w, l_returnflag AS s, sum(l_quantity) AS b FROM lineitem GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY b DESC, list_position(['A', 'N', 'R'], s) DESC) AS k FROM s) SELECT l_partkey AS work_id, l_returnflag AS source, count(*) AS files FROM lineitem JOIN k ON l_partkey = w AND l_returnflag = s AND k.k = 1 GROUP BY 1, 2", False)
+def source_merge(spark, sf):
+    """The source with most bytes of each work."""
+    files = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("work_id"), F.col("l_returnflag").alias("source"), F.col("l_quantity").alias("bytes"))
+    return references.largest_source(files, ["A", "N", "R"]).groupBy("work_id", "source").agg(F.count("*").alias("files"))
+
+
+@query("SELECT user_id, event_type AS term, round(max(ln(1 + greatest(value, 0))), 6) AS weight FROM events GROUP BY 1, 2 HAVING max(value) > 0", False)
+def sparse_weights(spark, sf):
+    """Largest log(1 + relu) per term."""
+    return vectors.splade(table(spark, sf, "events").select("user_id", F.col("event_type").alias("term"), F.col("value").alias("logit")), "user_id")
+
+
+@query("WITH x AS (SELECT label, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM x GROUP BY 1, 2) SELECT label, i::INTEGER AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM m", False)
+def mean_pooling(spark, sf):
+    """Mean vectors at unit length."""
+    pooled = vectors.mean_pool(table(spark, sf, "embeddings").select("label", "embedding"), "label")
+    return pooled.select("label", F.posexplode("embedding").alias("i", "v")).select("label", "i", F.round("v", 6).alias("x"))
+
+
+@query(" SELECT passage_id, sha256('t1' || chr(0) || 'Work: ' || main_title || CASE WHEN heading <> '' THEN chr(10) || 'Section: ' || heading ELSE '' END || chr(10) || 'Period: ' || period) AS h FROM p WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE text LIKE '%' || chr(0) || '%')")
+def embedding_inputs(spark, sf):
+    """Template text and its hash."""
+    text = T.embedding_text(("Work", F.col("main_title")), ("Section", F.col("heading")), ("Period", F.col("period")))
+    return passages(spark, sf).select("passage_id", T.input_hash("t1", text).alias("h"))
+
+
+@query(_TFIDF + ", a AS (SELECT term, w AS wa FROM w WHERE doc_id = 7), b AS (SELECT term, w AS wb FROM w WHERE doc_id = (SELECT doc_id FROM w JOIN a USING (term) WHERE doc_id <> 7 GROUP BY 1 ORDER BY round(sum(w * wa), 6) DESC, doc_id LIMIT 1)) SELECT term, round(wa * wb, 8) AS contribution FROM a JOIN b USING (term) ORDER BY contribution DESC, length(term) DESC, term LIMIT 12")
+def shared_ngrams(spark, sf):
+    """Terms of a seed and its nearest document."""
+    w = _weights(passages(spark, sf))
+    best = lexical.similar(w, SEED, 1).first()
+    return lexical.shared_terms(w, SEED, best.doc_id if best else SEED)
+
+
+@query(" SELECT passage_id, strpos(zh_text_raw, 'the ') > 0 AS has, div_path, string_split(div_path, ' / ') AS parts, CASE WHEN from_lb IS NOT NULL THEN from_lb || '-' || to_lb ELSE '' END AS locator, trim(regexp_replace(heading, '\\s+', ' ', 'g')) AS heading FROM p")
+def small_expressions(spark, sf):
+    """Substring test, path parts, locator, collapsed white space."""
+    p = passages(spark, sf)
+    return p.select("passage_id", F.contains("zh_text_raw", F.lit("the ")).alias("has"), "div_path", F.split("div_path", " / ").alias("parts"), T.locator(F.col("from_lb"), F.col("to_lb")).alias("locator"), T.collapse_whitespace(F.col("heading")).alias("heading"))
