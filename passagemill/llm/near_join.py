@@ -18,7 +18,7 @@ of its segments thin keeps all of its keys.
 Sets equal as a whole are one class and only its smallest document is indexed.
 A key's documents are compared with the key's smallest document first, and
 only where links leave a key with several components with further ones, block
-by block, until every key's documents are of one component or were all
+by block, so that every key's documents are of one component or were all
 compared. Candidates pass an exact bound on the symmetric difference (parity bits) and
 are verified on the shingle sets of their whole texts.
 """
@@ -320,13 +320,12 @@ class JaccardJoin:
         """Compare further pairs of keys that still hold several components.
 
         A key's documents are dealt into blocks, and blocks are compared two at
-        a time on their parity bits. A round passes on as many pairs as would
-        join a block pair's components, and when such a round links nothing,
-        all pairs that the bits let through; if none of these is a link, no
-        link is left.
+        a time on their parity bits. The first round passes on as many pairs as
+        would join a block pair's components if all were links. What is then
+        still open passes on all pairs of different components that the bits
+        let through, so after it no link can be left.
         """
-        every = False
-        while True:
+        for every in (False, True):
             named = buckets.select("key", "id").distinct().join(label.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
             open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo != hi and size > 2").select("key", "size")
             rows = ws.write(named.join(open_keys, "key"), "open")
@@ -341,11 +340,8 @@ class JaccardJoin:
             dealt = dealt.select("key", "p", "q", "own", "id", "c", "n", *(f"s{i}" for i in range(SKETCH)))
             pairs = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_compare(self.num, self.den, every), "a long, b long").distinct()
             more = self._exact(pairs, docs, ws)
-            found = not more.isEmpty()
-            if found:
+            if not more.isEmpty():
                 links = ws.write(links.unionByName(more).distinct(), "links")
                 label = ws.write(components(links, ws), "components")
             ws.drop(rows, more)
-            if every and not found:
-                return label
-            every = not found
+        return label
