@@ -36,6 +36,8 @@ from .textkit import U, mix, shingle_sets
 from .workspace import Workspace
 
 SKETCH = 16  # longs of parity bits
+WIDE = 16_384  # parity bits of sets with more than WIDE_FROM elements, for which the others are too few
+WIDE_FROM = 1_500
 BLOCK_ROWS = 2048  # documents of a key that are compared with as many in one piece
 BROADCAST_ROWS = 1_000_000  # ids; larger sides are joined by shuffle
 
@@ -101,11 +103,12 @@ def _long(values) -> pa.Array:
 
 
 def _digest(w: int, lower: bool):
-    names = ["doc_id", "n", "f1", "f2", *(f"s{i}" for i in range(SKETCH))]
+    names = ["doc_id", "n", "f1", "f2", *(f"s{i}" for i in range(SKETCH)), "wide"]
 
     def run(batches):
         for batch in batches:
             rows = batch.num_rows
+            wide: list[bytes | None] = [None] * rows
             n, f = np.zeros(rows, np.int64), np.zeros((2, rows), np.uint64)
             s = np.zeros((rows, SKETCH), np.uint64)
             for i, t in enumerate(shingle_sets(batch.column(1), w, lower)):
@@ -116,9 +119,11 @@ def _digest(w: int, lower: bool):
                         f[1, i] = mix(t ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
                     bits = np.bincount((t & U(SKETCH * 64 - 1)).astype(np.int64), minlength=SKETCH * 64) & 1
                     s[i] = np.packbits(bits.astype(np.uint8)).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), _long(f[0]), _long(f[1]), *(_long(np.ascontiguousarray(s[:, i])) for i in range(SKETCH))], names)
+                if len(t) > WIDE_FROM:
+                    wide[i] = np.packbits((np.bincount((t & U(WIDE - 1)).astype(np.int64), minlength=WIDE) & 1).astype(np.uint8)).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), _long(f[0]), _long(f[1]), *(_long(np.ascontiguousarray(s[:, i])) for i in range(SKETCH)), pa.array(wide, pa.binary())], names)
 
-    return run, ", ".join(f"{c} long" for c in names)
+    return run, ", ".join(f"{c} long" for c in names[:-1]) + ", wide binary"
 
 
 def _index(w: int, lower: bool, num: int, den: int):
@@ -193,12 +198,8 @@ def _runs(table: pa.Table, after: pa.Table | None, key, leader):
 def _compare(num: int, den: int, every: bool):
     """Rows sorted by (key, p, q) to pairs of different components that the parity bits let through."""
 
-    def group(t: pa.Table):
-        own, p = t["own"].to_numpy(), t["p"][0].as_py()
-        first, second = own == p, own == t["q"][0].as_py()
-        ids, c, n = t["id"].to_numpy(), t["c"].to_numpy(), t["n"].to_numpy()
-        bits = np.stack([t[f"s{i}"].to_numpy() for i in range(SKETCH)], 1).view(np.uint64)
-        a, b = np.flatnonzero(first), np.flatnonzero(second)
+    def group(own, p, q, ids, c, n, bits):
+        a, b = np.flatnonzero(own == p[0]), np.flatnonzero(own == q[0])
         out, joined = [], {}
 
         def root(x):
@@ -231,14 +232,43 @@ def _compare(num: int, den: int, every: bool):
             t = t if held is None else pa.concat_tables([held, t])
             if not t.num_rows:
                 continue
-            cols = [t[c].to_numpy() for c in ("key", "p", "q")]
-            at = np.flatnonzero(np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in cols])))
-            for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
-                if found := group(t.slice(x, y - x)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(z, np.int64)) for z in zip(*found)], ["a", "b"])
-            held = t.slice(int(at[-1])).combine_chunks()
-        if held is not None and held.num_rows and (found := group(held)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(z, np.int64)) for z in zip(*found)], ["a", "b"])
+            held = t.slice(int(ends(t)[-1])).combine_chunks()
+            yield from found(t, last=False)
+        if held is not None and held.num_rows:
+            yield from found(held, last=True)
+
+    def ends(t):
+        cols = [t[c].to_numpy() for c in ("key", "p", "q")]
+        return np.flatnonzero(np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in cols])))
+
+    def found(t, last: bool):
+        """Pairs of the table's groups; the last group only if told, as it may go on in the next batch."""
+        at = ends(t)
+        at = np.append(at, t.num_rows) if last else at
+        own, p, q, ids, c, n = (t[k].to_numpy() for k in ("own", "p", "q", "id", "c", "n"))
+        bits = np.stack([t[f"s{i}"].to_numpy() for i in range(SKETCH)], 1).view(np.uint64)
+        out = []
+        for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
+            out += group(own[x:y], p[x:y], q[x:y], ids[x:y], c[x:y], n[x:y], bits[x:y])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(z, np.int64)) for z in zip(*out)], ["a", "b"])
+
+    return run
+
+
+def _wide_bound(num: int, den: int):
+    """Drop pairs (a, b, a_n, b_n, a_wide, b_wide) that the wide parity bits rule out."""
+
+    def run(batches):
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            x, y = batch.column(4), batch.column(5)
+            both = np.flatnonzero(np.asarray(pc.and_(pc.is_valid(x), pc.is_valid(y))))
+            n = batch.column(2).to_numpy(zero_copy_only=False)[both].astype(np.int64) + batch.column(3).to_numpy(zero_copy_only=False)[both].astype(np.int64) if len(both) else both
+            for j, i in enumerate(both.tolist()):
+                differ = int(np.bitwise_count(np.frombuffer(x[i].as_py(), np.uint64) ^ np.frombuffer(y[i].as_py(), np.uint64)).sum(dtype=np.int64))
+                keep[i] = differ * (den + num) <= int(n[j]) * (den - num)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -279,11 +309,14 @@ class JaccardJoin:
         right = sets.select(F.col("doc_id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in side))
         differ = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(SKETCH)), F.lit(0))
         close = (differ * (self.den + self.num) <= (F.col("a_n") + F.col("b_n")) * (self.den - self.num)) & (F.least("a_n", "b_n") * self.den >= F.greatest("a_n", "b_n") * self.num)
-        return self._exact(pairs.join(left, "a").join(right, "b").where(close).select("a", "b"), docs, ws)
-
-    def _exact(self, pairs: DataFrame, docs: DataFrame, ws: Workspace) -> DataFrame:
-        """Of pairs (a, b), those whose texts reach the threshold."""
-        kept = ws.write(pairs, "pairs")
+        return self._exact(pairs.join(left, "a").join(right, "b").where(close).select("a", "b"), sets, docs, ws)
+
+    def _exact(self, pairs: DataFrame, sets: DataFrame, docs: DataFrame, ws: Workspace) -> DataFrame:
+        """Of pairs (a, b), those whose texts reach the threshold; large sets pass a bound on wide parity bits first."""
+        large = sets.where("wide is not null")
+        x, y = (large.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n"), F.col("wide").alias(f"{c}_wide")) for c in "ab")
+        both = pairs.join(x, "a", "left").join(y, "b", "left").select("a", "b", "a_n", "b_n", "a_wide", "b_wide")
+        kept = ws.write(both.mapInArrow(_wide_bound(self.num, self.den), "a long, b long"), "pairs")
         need = ws.write(kept.select(F.col("a").alias("doc_id")).unionByName(kept.select(F.col("b").alias("doc_id"))).distinct(), "need")
         texts = ws.write(docs.join(self._narrow(need), "doc_id", "left_semi"), "texts")
         run, schema = _verify(self.words, self.lower, self.num, self.den)
@@ -339,7 +372,7 @@ class JaccardJoin:
             dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "c").join(side, "id")
             dealt = dealt.select("key", "p", "q", "own", "id", "c", "n", *(f"s{i}" for i in range(SKETCH)))
             pairs = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_compare(self.num, self.den, every), "a long, b long").distinct()
-            more = self._exact(pairs, docs, ws)
+            more = self._exact(pairs, heads, docs, ws)
             if not more.isEmpty():
                 links = ws.write(links.unionByName(more).distinct(), "links")
                 label = ws.write(components(links, ws), "components")
