@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import context, groups, lexical, people, search, vectors
+from ..operators import context, evidence, groups, lexical, people, search, vectors
 from .scope import Scope, check_passage_id
 
 ROWS = 1000  # rows that a tool returns at most
@@ -281,6 +281,49 @@ def similar_phrase(c: Corpus, phrase: str, limit: int = 20) -> DataFrame:
     return search.similar_phrase(c.passages, phrase, limit)
 
 
+def _tasks(c: Corpus, path: str) -> DataFrame:
+    return c.passages.sparkSession.read.schema(evidence.TASK).option("multiLine", "true").json(path)
+
+
+@tool("validate-adjudication")
+def validate_adjudication(c: Corpus, path: str) -> DataFrame:
+    """Broken rules of adjudication files; none: valid."""
+    return evidence.violations(_tasks(c, path))
+
+
+@tool("graph-build")
+def graph_build(c: Corpus, path: str, kind: str = "evidence", out: str | None = None) -> DataFrame:
+    """Edges of the evidence, timeline or lineage graph of adjudicated passages; written as JSON lines if asked."""
+    tasks = _tasks(c, path)
+    if kind == "evidence":
+        edges = evidence.edges(tasks)
+    else:
+        rows = search.lookup(c.passages, evidence.nodes(tasks).withColumnRenamed("id", "passage_id"))
+        edges = {"timeline": evidence.timeline_edges, "lineage": evidence.lineage_edges}[kind](rows)
+    if out:
+        edges.write.json(out)
+    return edges
+
+
+@tool("report-build")
+def report_build(c: Corpus, paths: list[str], title: str = "Report") -> DataFrame:
+    """Markdown lines of a dossier: the passages of adjudicated claims, each once, in order of time."""
+    tasks = _tasks(c, paths[0])
+    for path in paths[1:]:
+        tasks = tasks.unionByName(_tasks(c, path))
+    rows = search.lookup(c.passages, evidence.nodes(tasks).withColumnRenamed("id", "passage_id"))
+    section = F.concat(F.lit("## "), "passage_id", F.lit("\n\n> "), F.substring("zh_text_raw", 1, 240), F.lit("\n\n"), F.coalesce("main_title", F.lit("")))
+    head = c.passages.sparkSession.createDataFrame([(0, -1, f"# {title}")], "period_rank int, doc_id long, markdown string")
+    return head.unionByName(rows.select(F.coalesce("period_rank", F.lit(99)).alias("period_rank"), "doc_id", section.alias("markdown"))).orderBy("period_rank", "doc_id").select("markdown")
+
+
+@tool("parquet-info")
+def parquet_info(c: Corpus, path: str) -> DataFrame:
+    """Files below a folder with size and row count."""
+    rows = c.passages.sparkSession.read.option("recursiveFileLookup", "true").parquet(path)
+    return rows.groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows"))
+
+
 # Composite tools: parts of one answer, each a tool of its own.
 COMPOSITE = {
     "evidence-search": ["search", "first-attestation", "phrase-history", "trace-term-usage", "cluster-hits", "absence-check"],

@@ -30,6 +30,19 @@ def test_tools_answer(spark):
     assert both["ok"] and both["parts"]["absence-check"]["rows"][0]["found"]
 
 
+def test_adjudication_tools(spark, tmp_path):
+    claim = {"claim_id": "c", "evidence": [{"passage_id": "7", "role": "seed"}, {"passage_id": "9", "role": "candidate"}], "relation_label": "reuse", "review_state": "accepted", "confidence": 0.5, "ring": 1}
+    path = f"file://{tmp_path}/a.json"
+    (tmp_path / "a.json").write_text(json.dumps({"task_id": "t", "seed_passage_id": "7", "accepted_claims": [claim]}))
+    c = tools.Corpus(passages(spark, SF))
+    assert tools.call(c, "validate-adjudication", {"path": path})["row_count"] == 0
+    assert tools.call(c, "graph-build", {"path": path})["rows"] == [{"claim_id": "c", "source": "7", "target": "9", "relation": "reuse", "confidence": 0.5}]
+    assert tools.call(c, "graph-build", {"path": path, "kind": "timeline"})["row_count"] >= 2
+    lines = [r["markdown"] for r in tools.call(c, "report-build", {"paths": [path], "title": "T"})["rows"]]
+    assert lines[0] == "# T" and len(lines) == 3
+    assert tools.call(c, "parquet-info", {"path": f"file://{SF}/region.parquet"})["rows"][0]["rows"] == 5
+
+
 def test_batch_order(spark):
     jobs = [{"id": "b", "tool": "status", "depends_on": ["a"]}, {"id": "a", "tool": "nope"}, {"id": "c", "tool": "status", "depends_on": ["a"], "continue_on_error": True}, {"id": "d", "tool": "status", "depends_on": ["e"]}, {"id": "e", "tool": "status", "depends_on": ["d"]}]
     got = {e["id"]: e for e in tools.run_batch(tools.Corpus(passages(spark, SF)), jobs)}
