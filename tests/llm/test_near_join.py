@@ -74,6 +74,16 @@ def test_many_near_copies_of_one_text(spark):
     assert run(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100) == brute(rows, 3, 90, 100)
 
 
+def test_large_sets_pass_the_wide_bound(spark):
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    base = r.choices(words, k=2200)
+    near = base[:1000] + ["x"] + base[1001:]
+    rows = [(0, " ".join(base)), (1, " ".join(near)), (2, " ".join(base[:1300] + r.choices(words, k=900))), (3, " ".join(r.choices(words, k=2300)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert run(df, 3, 90, 100) == brute(rows, 3, 90, 100) and run(df, 3, 90, 100)[1][1] == 0
+
+
 def test_similar_sets_share_a_key():
     rng = np.random.default_rng(3)
     for num, den in ((90, 100), (80, 100), (50, 100)):
