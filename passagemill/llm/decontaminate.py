@@ -10,6 +10,7 @@ placeholders must be replaced consistently.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 
@@ -46,10 +47,7 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def _hash(text: str) -> int:
-    h = 1469598103934665603
-    for c in text.encode("utf-8", "surrogatepass"):
-        h = (h ^ c) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
-    return h or 1
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") or 1
 
 
 class Canon(dict):
@@ -58,8 +56,15 @@ class Canon(dict):
     def __init__(self, small: frozenset[str]):
         super().__init__()
         self.small = small
+        self.index = Index(self)
 
     def __missing__(self, chunk: str):
+        out = self.of(chunk)
+        if len(self) < KNOWN_CHUNKS and len(chunk) < 64:
+            self[chunk] = out
+        return out
+
+    def of(self, chunk: str) -> tuple[int, int, bool]:
         core = _EDGE.sub("", chunk)
         low = core.lower()
         plain = _hash(low) if low else 0
@@ -74,10 +79,34 @@ class Canon(dict):
                 kind = f"<unit:{_UNIT[low]}>"
             elif core[0].isupper() and low not in self.small:
                 kind = "<name>"
-        out = (_hash(kind) if kind else plain, plain, kind is not None)
-        if len(self) < KNOWN_CHUNKS and len(chunk) < 64:
-            self[chunk] = out
-        return out
+        return _hash(kind) if kind else plain, plain, kind is not None
+
+
+class Index(dict):
+    """Chunk to row of three arrays (template, plain, placeholder), so that a text is looked up in one pass.
+
+    Rows behind those that are kept belong to the text at hand.
+    """
+
+    def __init__(self, canon: Canon):
+        super().__init__()
+        self.canon = canon
+        self.n = 0
+        self.template, self.plain, self.slot = np.zeros(1024, U), np.zeros(1024, U), np.zeros(1024, bool)
+
+    def __missing__(self, chunk: str) -> int:
+        k = self.n
+        if k == len(self.slot):
+            self.template, self.plain, self.slot = (np.concatenate((x, np.zeros_like(x))) for x in (self.template, self.plain, self.slot))
+        self.template[k], self.plain[k], self.slot[k] = self.canon.of(chunk)
+        self.n += 1
+        if k == len(self) and k < KNOWN_CHUNKS and len(chunk) < 64:
+            self[chunk] = k
+        return k
+
+    def rows(self, chunks: list[str]) -> np.ndarray:
+        self.n = len(self)
+        return np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
 
 
 def small_words(texts: list[str | None]) -> frozenset[str]:
@@ -87,14 +116,13 @@ def small_words(texts: list[str | None]) -> frozenset[str]:
 
 def text_windows(text: str, canon: Canon, lengths: list[int]):
     """(hash, position, slot values) arrays of a text's windows in both forms."""
-    got = [canon[c] for c in text.split()]
-    got = [g for g in got if g[1]]
-    n = len(got)
+    index = canon.index
+    rows = index.rows(text.split())
+    rows = rows[index.plain[rows] != 0]
+    n = len(rows)
     if not n:
         return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, bool)
-    template = np.fromiter((g[0] for g in got), U, n)
-    plain = np.fromiter((g[1] for g in got), U, n)
-    slot = np.fromiter((g[2] for g in got), bool, n)
+    template, plain, slot = index.template[rows], index.plain[rows], index.slot[rows]
     filled = np.append(0, np.cumsum(slot))
     hashes, at, kind, size = [], [], [], []
     off = np.array([0, n])
