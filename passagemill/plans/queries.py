@@ -486,7 +486,7 @@ def timeline_graph(spark, sf):
 @query("WITH i AS (SELECT event_id, event_type, user_id FROM events WHERE user_id < 20) SELECT a.event_id AS source, b.event_id AS target, 'same_seed' AS relation FROM i a JOIN i b ON a.user_id = b.user_id AND a.event_id <> b.event_id WHERE a.event_type = (SELECT min(event_type) FROM events)", False)
 def registry_edges(spark, sf):
     """Items of one seed linked to its packets."""
-    events = table(spark, sf, "events").where("user_id < 20")
+    events = table(spark, sf, "events")
     first = events.sparkSession.read.parquet(f"{sf}/events.parquet").agg(F.min("event_type").alias("t"))
     kind = F.when(F.col("event_type") == F.col("t"), "task_packet").otherwise("other")
     items = events.crossJoin(F.broadcast(first)).select(F.col("event_id").alias("item_id"), kind.alias("kind"), F.col("user_id").alias("seed_passage_id"))
