@@ -353,15 +353,15 @@ w AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w
 
 
 def _weights(p: DataFrame) -> DataFrame:
-    counts = lexical.term_counts(p, (5, 6))
-    return lexical.weights(counts, lexical.vocabulary(counts, p.count(), most=20_000))
+    counts = lexical.term_counts(p)
+    return lexical.weights(counts, lexical.vocabulary(counts, p.count()))
 
 
 @query(_TFIDF + " SELECT term, df, round(idf, 6) AS idf FROM i")
 def tfidf_vocabulary(spark, sf):
     """Terms within the frequency bounds."""
     p = passages(spark, sf)
-    return lexical.vocabulary(lexical.term_counts(p, (5, 6)), p.count(), most=20_000).select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.vocabulary(lexical.term_counts(p), p.count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(_TFIDF + ", s AS (SELECT term, w AS sw FROM w WHERE doc_id = 7) SELECT doc_id, round(sum(w * sw), 6) AS score FROM w JOIN s USING (term) WHERE doc_id <> 7 GROUP BY 1 HAVING round(sum(w * sw), 6) > 0 ORDER BY score DESC, doc_id LIMIT 20")
