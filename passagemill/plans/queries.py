@@ -375,8 +375,7 @@ def frontier(spark, sf):
     """Phrases of a seed in other passages, in one scan."""
     p = passages(spark, sf)
     text = p.where(F.col("doc_id") == SEED).select(NORM).first()
-    phrases = list(dict.fromkeys(text[0][i : i + 6] for i in range(40) if len(text[0][i : i + 6]) == 6)) if text else []
-    return lexical.frontier(p, SEED, phrases)
+    return lexical.frontier(p, SEED, lexical.frontier_phrases(text[0]) if text else [])
 
 
 @query(

@@ -140,7 +140,7 @@ def frontier(c: Corpus, seed: int, limit: int = 20, phrase_limit: int = 40) -> D
     row = c.passages.where(F.col("doc_id") == seed).select("zh_text_normalized").first()
     if row is None:
         raise ValueError(f"no passage {seed}")
-    return lexical.frontier(c.passages, seed, lexical.frontier_phrases(row[0][:200], most=phrase_limit), limit=limit)
+    return lexical.frontier(c.passages, seed, lexical.frontier_phrases(row[0], most=phrase_limit), limit=limit)
 
 
 @tool("first-attestation")

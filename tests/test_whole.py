@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 from passagemill.plans import queries as base
+from passagemill.plans import tools
 
 
 def test_registry_edges_of_every_user(spark, tmp_path):
@@ -47,3 +48,24 @@ def test_tfidf_of_all_sizes_and_terms(spark, tmp_path):
     best = want[0][1]
     both = sorted(((-round(x * w[best][g], 8), -len(g), g) for g, x in w[base.SEED].items() if g in w[best]))[:12]
     assert [(x.term, x.contribution) for x in base.shared_ngrams(spark, sf).collect()] == [(g, -x) for x, _, g in both]
+
+
+def test_frontier_reads_the_whole_seed(spark, tmp_path):
+    r = random.Random(5)
+    tail = "zzyxwzvzuzt" * 3 + "zzzzzzzzzzzz" + "zyxwvzyxwv"  # past the seed's first 200 characters; sorts last, partly of low value
+    seed = "".join(r.choices("abcdefgh", k=400)) + tail
+    texts = {base.SEED: seed, **{d: "".join(r.choices("abcdefgh", k=50)) + (tail if d % 2 else seed[:60]) for d in range(10, 20)}}
+    docs = [(d, t, "en", f"src{d % 4}", len(t)) for d, t in texts.items()]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    grams = {g for n in range(4, 11) for i in range(len(seed) - n + 1) if len(set(g := seed[i : i + n])) > 1 and (n % 2 or g[: n // 2] != g[n // 2 :])}
+    want = []
+    for g in sorted(sorted(grams, reverse=True), key=len, reverse=True)[:40]:
+        held = [d for d, t in texts.items() if d != base.SEED and g in t]
+        sources = len({d % 4 for d in held})
+        if 2 <= len(held) <= 200:
+            want.append((g, len(g), len(held), sources, round(min(1.0, len(g) / 8 + min(len(held), 20) / 40 + sources / 20), 6)))
+    want.sort(key=lambda x: (-x[4], -x[3], -x[1], x[2], x[0]))
+    assert want and [tuple(x) for x in base.frontier(spark, f"file://{tmp_path}").collect()] == want[:20]
+    p = base.passages(spark, f"file://{tmp_path}")
+    assert [tuple(x.values()) for x in tools.call(tools.Corpus(p), "frontier", {"seed": base.SEED})["rows"]] == want[:20]
+    assert base.lexical.frontier(p, base.SEED, []).count() == 0
