@@ -146,8 +146,8 @@ def text_windows(text: str, canon: Canon, lengths: list[int]):
 COLUMNS = "id long, hash long, pos long, template boolean, slots array<long>"
 
 
-def _emit(small: frozenset[str], lengths: list[int], wanted: np.ndarray | None):
-    """Rows of windows; only those in the sorted ``wanted`` hashes if given."""
+def _emit(small: frozenset[str], lengths: list[int], wanted: np.ndarray | None, own: bool = False):
+    """Rows of windows; only those in the sorted ``wanted`` hashes if given. own: of the largest length that a text has."""
 
     def run(batches):
         canon = Canon(small)
@@ -161,7 +161,7 @@ def _emit(small: frozenset[str], lengths: list[int], wanted: np.ndarray | None):
                     k = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
                     use = np.flatnonzero(wanted[k] == h)
                 else:
-                    use = np.arange(len(h))
+                    use = np.flatnonzero(size == min(len(plain), LENGTH)) if own else np.arange(len(h))
                 values = plain.view(np.int64)
                 for i in use.tolist():
                     a, w = int(at[i]), int(size[i])
@@ -203,7 +203,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     sizes = items.mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.max("n").alias("n"))
     short = [r.n for r in sizes.select("n").where(f"n >= {SHORT} and n < {LENGTH}").distinct().collect()]
     lengths = sorted({*short, LENGTH})
-    known = ws.write(items.mapInArrow(_emit(small, lengths, None), COLUMNS), "items")
+    known = ws.write(items.mapInArrow(_emit(small, lengths, None, own=True), COLUMNS), "items")
     length = F.when(F.col("n") < LENGTH, F.col("n")).otherwise(LENGTH)
     sized = sizes.select("id", (F.col("n") - length + 1).alias("n_item_windows"))
     distinct = known.select("hash").distinct()

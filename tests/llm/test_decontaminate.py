@@ -50,3 +50,11 @@ def test_random_texts_are_left_alone(spark):
     docs = [(i, " ".join(r.choices(words, k=300))) for i in range(100)]
     items = [(i, " ".join(r.choices(words, k=30))) for i in range(30)]
     assert got(spark, docs, items) == {}
+
+
+def test_a_short_item_leaves_the_others_windows_alone(spark):
+    long, eight = "a1 b2x c3x d4x e5x f6x g7x h8x i9x j10x k11x l12x m13x n14x o15x p16x q17x r18x", "ein alter baum steht dort am langen weg"
+    items = [(1, "nobody knew the answer"), (2, long), (3, eight)]
+    docs = [(1, "pad " + " ".join(long.split()[2:11]) + " end"), (2, "und dort ein alter baum steht still"), (3, "but nobody knew the answer then"), (4, " ".join(long.split()[2:15])), (5, "wo " + eight + " ja")]
+    for limit in (10**6, 0):
+        assert set(got(spark, docs, items, most_broadcast=limit)) == {(3, 1), (4, 2), (5, 3)}
