@@ -1,11 +1,12 @@
 """Benchmark decontamination by template windows.
 
 Words become typed placeholders where they are numbers, units or names (a
-capitalised word that the benchmark never writes small); windows of the rest
-are hashed and joined with the benchmark's. A second set of windows over the
-plain lower-cased words catches copies in another case. Windows of a document
-and an item are counted by their distance, and the values that fill an item's
-placeholders must be replaced consistently.
+capitalised word that the benchmark never writes small; words of a name in a
+row are one placeholder); windows of the rest are hashed and joined with the
+benchmark's. A second set of windows over the plain lower-cased words catches
+copies in another case. Windows of a document and an item are counted by their
+distance; the values that fill an item's placeholders must be replaced
+consistently, and a reworded line must hold enough words that are none.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .workspace import Workspace
 
 LENGTH = 8  # words in a window
 SHORT = 4  # words from which a shorter item is looked for, as one window
-LITERALS = 5  # words of a window that are no placeholders (all but one of a shorter)
+LITERALS = 5  # words of a reworded line that are no placeholders (all but one of a shorter window)
 ENOUGH = 6  # windows in line that show contamination (13 words), or
 SHARE = 0.8  # this share of an item's windows
 CONSISTENT = 0.5  # least share of an item's repeated slot values with one value in the document
@@ -50,6 +51,9 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") or 1
 
 
+NAME = _hash("<name>")
+
+
 class Canon(dict):
     """(template id, plain id, placeholder) of white-space separated chunks; ids 0: no word."""
 
@@ -114,58 +118,82 @@ def small_words(texts: list[str | None]) -> frozenset[str]:
     return frozenset(w for t in texts for c in (t or "").split() if (w := _EDGE.sub("", c)) and not w[0].isupper() and w == w.lower())
 
 
-def text_windows(text: str, canon: Canon, lengths: list[int]):
-    """(hash, position, slot values) arrays of a text's windows in both forms."""
+def text_windows(text: str, canon: Canon, lengths: tuple[list[int], list[int]]):
+    """Windows of a text in both forms, of the given lengths in words and in units (a word, or a name's words in a row).
+
+    Hash, first word, first unit, form and size of each; then per word its hash, and per unit its first word and whether it is a placeholder.
+    """
     index = canon.index
     rows = index.rows(text.split())
     rows = rows[index.plain[rows] != 0]
     n = len(rows)
-    if not n:
-        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, bool)
     template, plain, slot = index.template[rows], index.plain[rows], index.slot[rows]
-    filled = np.append(0, np.cumsum(slot))
-    hashes, at, kind, size = [], [], [], []
-    off = np.array([0, n])
-    for w in lengths:
-        if n < w:
-            continue
-        pos = np.arange(n - w + 1)
-        few = filled[pos + w] - filled[pos] <= (w - LITERALS if w >= LENGTH else 1)
-        t, _ = windows(template, off, w)
-        p, _ = windows(plain, off, w)
-        with np.errstate(over="ignore"):
-            hashes += [mix(t[: n - w + 1][few] + U(1)), mix(p[: n - w + 1] + U(2))]
-        at += [pos[few], pos]
-        kind += [np.ones(int(few.sum()), bool), np.zeros(len(pos), bool)]
-        size += [np.full(int(few.sum()) + len(pos), w)]
-    if not hashes:
-        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), plain, slot
-    return np.concatenate(hashes), np.concatenate(at), np.concatenate(kind), np.concatenate(size), plain, slot
-
-
-COLUMNS = "id long, hash long, pos long, template boolean, slots array<long>"
-
-
-def _emit(small: frozenset[str], lengths: list[int], wanted: np.ndarray | None, own: bool = False):
-    """Rows of windows; only those in the sorted ``wanted`` hashes if given. own: of the largest length that a text has."""
+    name = template == NAME
+    more = name[1:] & name[:-1]
+    units, unit = np.arange(n), None
+    if more.any():
+        first = np.append(True, ~more)
+        units, unit = np.flatnonzero(first), np.cumsum(first) - 1
+        template, slot = template[units], slot[units]
+    hashes, word, at, kind, size = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)]
+    for form, sequence in enumerate((plain, template)):
+        m = len(sequence)
+        for w in lengths[form]:
+            if m < w:
+                continue
+            pos = np.arange(m - w + 1)
+            h, _ = windows(sequence, np.array([0, m]), w)
+            with np.errstate(over="ignore"):
+                hashes.append(mix(h[: m - w + 1] + U(1 if form else 2)))
+            word.append(units[pos] if form else pos)
+            at.append(pos if form or unit is None else unit[pos])
+            kind.append(np.full(len(pos), bool(form)))
+            size.append(np.full(len(pos), w))
+    return np.concatenate(hashes), np.concatenate(word), np.concatenate(at), np.concatenate(kind), np.concatenate(size), plain, units, slot
+
+
+def _values(plain: np.ndarray, units: np.ndarray) -> np.ndarray:
+    """One value a unit, from its words in order."""
+    if len(units) == len(plain):
+        return mix(plain)
+    within = np.arange(len(plain)) - np.repeat(units, np.diff(np.append(units, len(plain))))
+    with np.errstate(over="ignore"):
+        return np.add.reduceat(mix(plain + within.astype(U)), units)
+
+
+COLUMNS = "id long, hash long, pos long, unit long, template boolean, slots array<long>, literals array<long>"
+
+
+def _emit(small: frozenset[str], lengths: tuple[list[int], list[int]], wanted: np.ndarray | None, own: bool = False):
+    """Rows of windows; only those in the sorted ``wanted`` hashes if given.
+
+    own: of the largest length that a text has, without template windows that hold nothing but placeholders, and with their other units.
+    """
 
     def run(batches):
         canon = Canon(small)
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                h, at, kind, size, plain, slot = text_windows(text.as_py() or "", canon, lengths)
+                h, word, at, kind, size, plain, units, slot = text_windows(text.as_py() or "", canon, lengths)
                 if wanted is not None:
                     if not len(wanted) or not len(h):
                         continue
                     k = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
                     use = np.flatnonzero(wanted[k] == h)
+                elif own:
+                    filled = np.append(0, np.cumsum(slot))
+                    literal = size - np.where(kind, filled[np.minimum(at + size, len(slot))] - filled[at], 0)
+                    use = np.flatnonzero(np.where(kind, (size == min(len(units), LENGTH)) & (literal >= np.where(size < LENGTH, np.minimum(size - 1, LITERALS), 1)), size == min(len(plain), LENGTH)))
                 else:
-                    use = np.flatnonzero(size == min(len(plain), LENGTH)) if own else np.arange(len(h))
-                values = plain.view(np.int64)
+                    use = np.arange(len(h))
+                if not len(use):
+                    continue
+                values = _values(plain, units).view(np.int64)
                 for i in use.tolist():
                     a, w = int(at[i]), int(size[i])
-                    rows.append((doc, int(h[i : i + 1].view(np.int64)[0]), a, bool(kind[i]), values[a : a + w][slot[a : a + w]].tolist() if kind[i] else []))
+                    filler = slot[a : a + w]
+                    rows.append((doc, int(h[i : i + 1].view(np.int64)[0]), int(word[i]), a, bool(kind[i]), values[a : a + w][filler].tolist() if kind[i] else [], (a + np.flatnonzero(~filler)).tolist() if own and kind[i] else []))
                     if len(rows) >= 50_000:
                         yield _rows(rows)
                         rows = []
@@ -176,8 +204,8 @@ def _emit(small: frozenset[str], lengths: list[int], wanted: np.ndarray | None,
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["id", "hash", "pos", "template", "slots"])
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["id", "hash", "pos", "unit", "template", "slots", "literals"])
 
 
 def _vocabulary(batches):
@@ -200,31 +228,39 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     ws = Workspace(spark, "decontaminate")
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).where("id is not null")
     small = frozenset(r.word for r in items.select("text").mapInArrow(_vocabulary, "word string").distinct().toLocalIterator())
-    sizes = items.mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.max("n").alias("n"))
-    short = [r.n for r in sizes.select("n").where(f"n >= {SHORT} and n < {LENGTH}").distinct().collect()]
-    lengths = sorted({*short, LENGTH})
+    sizes = items.mapInArrow(_counted(small), "id long, n long, units long").groupBy("id").agg(F.max("n").alias("n"), F.collect_set("units").alias("units"), F.max("units").alias("most"))
+    short = sizes.select(F.explode(F.array_union(F.array("n"), "units")).alias("n")).where(f"n >= {SHORT} and n < {LENGTH}").distinct().collect()
+    every = sorted({*(r.n for r in short), LENGTH})
+    lengths = (every, every)
     known = ws.write(items.mapInArrow(_emit(small, lengths, None, own=True), COLUMNS), "items")
     length = F.when(F.col("n") < LENGTH, F.col("n")).otherwise(LENGTH)
-    sized = sizes.select("id", (F.col("n") - length + 1).alias("n_item_windows"))
+    templates = known.where("template").groupBy("id").agg(F.countDistinct("unit").alias("n_templates"))
+    sized = sizes.select("id", (F.col("n") - length + 1).alias("n_plain"), F.col("most").alias("units")).join(templates, "id", "left")
     distinct = known.select("hash").distinct()
     few = distinct.count() <= most_broadcast
     wanted = np.sort(np.array([r.hash for r in distinct.collect()], np.int64).view(U)) if few else None
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    hits = rows.mapInArrow(_emit(small, lengths, wanted), COLUMNS)
-    side = known.select(F.col("id").alias("item_id"), "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
+    hits = rows.mapInArrow(_emit(small, lengths, wanted), COLUMNS).drop("literals")
+    side = known.select(F.col("id").alias("item_id"), "hash", F.col("pos").alias("item_pos"), F.col("unit").alias("item_unit"), F.col("slots").alias("item_slots"), "literals")
     met = hits.join(F.broadcast(side) if few else side, "hash")
-    met = ws.write(met.select(F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "template", "slots", "item_slots"), "met")
-    line = ["doc_id", "item_id", "shift"]
-    counts = met.groupBy(*line).agg(F.countDistinct("item_pos").alias("n_windows"), F.countDistinct(F.when(~F.col("template"), F.col("item_pos"))).alias("n_plain"))
+    # A plain window is in a line of words and in one of units, where it fills what a reworded copy keeps as it is.
+    places = F.array(F.when(~F.col("template"), F.struct(F.lit(True).alias("words"), (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos")), F.struct(F.lit(False).alias("words"), (F.col("unit") - F.col("item_unit")).alias("shift"), F.col("item_unit").alias("item_pos")))
+    met = met.select(F.col("id").alias("doc_id"), "item_id", "template", "slots", "item_slots", "literals", F.explode(F.array_compact(places)).alias("at"))
+    met = ws.write(met.select("doc_id", "item_id", "at.words", "at.shift", "at.item_pos", "template", "slots", "item_slots", "literals"), "met")
+    line = ["doc_id", "item_id", "words", "shift"]
+    literal = F.size(F.array_distinct(F.flatten(F.collect_list("literals"))))
+    counts = met.groupBy(*line).agg(F.countDistinct("item_pos").alias("n_windows"), literal.alias("n_literals"))
     pairs = met.where("template").select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("v")).select(*line, "v.item_slots", "v.slots").distinct()
     repeated = items.mapInArrow(_repeated(small), "item_id long, item_slots long").distinct()
     pairs = pairs.join(F.broadcast(repeated) if few else repeated, ["item_id", "item_slots"], "left_semi")
     slots = pairs.groupBy(*line, "item_slots").agg(F.count("*").alias("values")).groupBy(*line).agg(F.avg((F.col("values") == 1).cast("double")).alias("consistent"))
-    enough = lambda c: (F.col(c) >= ENOUGH) | (F.col(c) >= F.col("n_item_windows") * SHARE)
     sized = sized.withColumnRenamed("id", "item_id")
     lines = counts.join(F.broadcast(sized) if few else sized, "item_id").join(slots, line, "left")
-    sound = lines.where(enough("n_plain") | enough("n_windows") & (F.coalesce("consistent", F.lit(1.0)) >= CONSISTENT))
-    best = sound.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("n_item_windows").alias("n_item_windows"), F.bool_and(~enough("n_plain")).alias("reworded"))
+    lines = lines.withColumn("n_item_windows", F.when(F.col("words"), F.col("n_plain")).otherwise(F.col("n_templates")))
+    enough = (F.col("n_windows") >= ENOUGH) | (F.col("n_windows") >= F.col("n_item_windows") * SHARE)
+    same = (F.coalesce("consistent", F.lit(1.0)) >= CONSISTENT) & (F.col("n_literals") >= F.least(F.lit(LITERALS), F.col("units") - 1))
+    sound = lines.where(enough & (F.col("words") | same))
+    best = sound.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("n_item_windows").alias("n_item_windows"), F.bool_and(~F.col("words")).alias("reworded"))
     return best.select("doc_id", "item_id", "n_windows", "n_item_windows", "reworded")
 
 
@@ -236,7 +272,8 @@ def _repeated(small: frozenset[str]):
         for batch in batches:
             rows = []
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                values = Counter(g[1] for c in (text or "").split() if (g := canon[c])[2])
+                _, _, _, _, _, plain, units, slot = text_windows(text or "", canon, ([], []))
+                values = Counter(_values(plain, units)[slot].tolist())
                 rows += [(ident, v) for v in sorted(values) if values[v] > 1]
             ids, found = zip(*rows) if rows else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(found, U).view(np.int64))], ["item_id", "item_slots"])
@@ -244,7 +281,13 @@ def _repeated(small: frozenset[str]):
     return run
 
 
-def _counted(batches):
-    for batch in batches:
-        n = [sum(bool(_EDGE.sub("", c)) for c in (t or "").split()) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["id", "n"])
+def _counted(small: frozenset[str]):
+    """(id, words, units) of texts."""
+
+    def run(batches):
+        canon = Canon(small)
+        for batch in batches:
+            found = [text_windows(t or "", canon, ([], []))[5:7] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([len(x[k]) for x in found], pa.int64()) for k in (0, 1))], ["id", "n", "units"])
+
+    return run

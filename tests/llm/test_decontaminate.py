@@ -58,3 +58,15 @@ def test_a_short_item_leaves_the_others_windows_alone(spark):
     docs = [(1, "pad " + " ".join(long.split()[2:11]) + " end"), (2, "und dort ein alter baum steht still"), (3, "but nobody knew the answer then"), (4, " ".join(long.split()[2:15])), (5, "wo " + eight + " ja")]
     for limit in (10**6, 0):
         assert set(got(spark, docs, items, most_broadcast=limit)) == {(3, 1), (4, 2), (5, 3)}
+
+
+def test_dense_and_longer_names(spark):
+    dense = "5 pens cost 12 dollars and 3 books cost 9 euros"
+    names = "then Mary Ann walked to the mill while Tom slept and Mary Ann asked the miller for Tom again"
+    items = [(1, dense), (2, names), (3, "pens cost books and then walked while asked")]
+    docs = [
+        (1, "so 7 pens cost 40 euros and 6 books cost 2 dollars ok"), (2, "7 rulers cost 40 euros but 6 maps make 2 dollars ok"),
+        (3, "oh " + names.replace("Mary Ann", "Zoe").replace("Tom", "Peter van Dyke".title()) + " yes"), (4, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15"), (5, "oh " + names.lower()),
+    ]
+    for limit in (10**6, 0):
+        assert got(spark, docs, items, most_broadcast=limit) == {(1, 1): True, (3, 2): True, (5, 2): False}
