@@ -30,8 +30,13 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-SEED = re.compile(r"[0-9@]|[\[(] ?at ?[\])]")
-REACH = 24  # characters around a seed that a region has
+SEED = re.compile(r"[0-9@]|[\[(] ?(?:at|dot) ?[\])]", re.I)
+REACH = 24  # characters around a seed that a region has at least
+MARGIN = 8  # characters around an address that a region has at least
+_WRITTEN_AT = re.compile(r"[\[(] ?at ?[\])]", re.I)
+_DOT = re.compile(r"[\[(] ?dot ?[\])]", re.I)
+_WRITTEN = re.compile(r"\s?[\w-]+(?:(?:\.|\s?[\[(] ?dot ?[\])]\s?)[\w-]+)+", re.I)
+_RIGHT = re.compile(r"\s?[\w.%+-]+(?:\s?\.\s?[\w-]+)*")
 WINDOW, OVERLAP = 96, 32
 
 
@@ -353,18 +358,44 @@ def standard(n: int = 1500, seed: int = 11) -> Tagger:
 # ------------------------------------------------------------------ detection
 
 
+def _address(text: str, a: int, b: int) -> tuple[int, int]:
+    """The stretch of address characters around a sign at a to b."""
+    m = _RIGHT.match(text, b)
+    if a and text[a - 1].isspace():
+        a -= 1
+    while a and (text[a - 1].isalnum() or text[a - 1] in "._%+-"):
+        a -= 1
+    return a, m.end() if m else b
+
+
 def regions(text: str) -> list[tuple[int, int]]:
-    """Joined stretches around characters that a span needs."""
+    """Joined stretches around characters that a span needs; none ends within an address."""
     out: list[list[int]] = []
     for m in SEED.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
+        a, b = m.start() - REACH, m.end() + REACH
+        if not m[0].isdigit():
+            c, d = _address(text, *m.span())
+            a, b = min(a, c - MARGIN), max(b, d + MARGIN)
+        a, b = max(0, a), min(len(text), b)
+        while out and a <= out[-1][1]:
+            first, last = out.pop()
+            a, b = min(a, first), max(b, last)
+        out.append([a, b])
     return [(a, b) for a, b in out]
 
 
+def written_out(text: str) -> list[tuple[int, int]]:
+    """Addresses with both signs in brackets, which need no network."""
+    out: list[tuple[int, int]] = []
+    for m in _WRITTEN_AT.finditer(text) if "[" in text or "(" in text else ():
+        start, _ = _address(text, *m.span())
+        start += text[start].isspace()
+        end = _WRITTEN.match(text, m.end())
+        if start < m.start() and text[start:m.start()].strip() and end and _DOT.search(end[0]) and (not out or start >= out[-1][1]):
+            out.append((start, end.end()))
+    return out
+
+
 def _fits(kind: str, text: str, a: int, b: int) -> bool:
     """The kind's exact check of a span of the network."""
     s = text[a:b]
@@ -372,7 +403,7 @@ def _fits(kind: str, text: str, a: int, b: int) -> bool:
         return False
     digits = "".join(_DIGIT.findall(s))
     if kind == "email":
-        return bool(re.fullmatch(r"[\w.%+-]+\s?(?:@|\[ ?at ?\]|\( ?at ?\))\s?[\w-]+(?:\s?(?:\.|\[ ?dot ?\]|\( ?dot ?\))\s?[\w-]+)+", s))
+        return bool(re.fullmatch(r"[\w.%+-]+\s?(?:@|\[ ?at ?\]|\( ?at ?\))\s?[\w-]+(?:\s?(?:\.|\[ ?dot ?\]|\( ?dot ?\))\s?[\w-]+)+", s, re.I))
     if kind == "ip":
         parts = s.split(".")
         return len(parts) == 4 and all(x.isascii() and x.isdigit() and len(x) < 4 and int(x) < 256 for x in parts)
@@ -390,6 +421,10 @@ class Detector:
     def found(self, texts: list[str]) -> list[dict[str, list[tuple[int, int]]]]:
         """Per text the spans of each kind: the rules' and what the tagger adds."""
         out = [base_spans(t) for t in texts]
+        for t, spans in zip(texts, out):
+            rules = [s for v in spans.values() for s in v]
+            spans["email"] += [(a, b) for a, b in written_out(t) if not any(a < y and x < b for x, y in rules)]
+            spans["email"].sort()
         jobs = [(i, a, b) for i, t in enumerate(texts) for a, b in regions(t)]
         for first in range(0, len(jobs), 2000):
             some, held = [], 0

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from passagemill.llm.pii import KINDS, Detector, Tagger, base_spans, detect, labelled, luhn, redact, redact_docs, regions, standard, tags_of, train
+from passagemill.llm.pii import KINDS, Detector, Tagger, base_spans, detect, labelled, luhn, redact, redact_docs, regions, standard, tags_of, train, written_out
 from passagemill.llm.queries import table
 
 SF = "/root/testdata/sf0.001"
@@ -89,3 +89,17 @@ def test_odd_rows(spark, odd, nothing, model):
     for text in ("@" * 50_000, "1" * 50_000, "1.1.1.1." * 20_000, "+1" * 30_000, "a" * 200_000 + "@"):
         base_spans(text)
     assert redact("mail a@b.com, +1 (203) 555-8282.", base_spans("mail a@b.com, +1 (203) 555-8282.")) == "mail <EMAIL>, <PHONE>."
+
+
+def test_long_and_written_out_addresses(model):
+    whole = [
+        "jane.doe (at) informatik.uni-heidelberg.de", "john [at] mycompany [dot] co [dot] uk", "firstname.middlename.surname.department [at] example [dot] org",
+        "JOHN.SMITH [AT] MYCOMPANY [DOT] COM", "maria.fernandez (at) institut-fuer-informatik.uni-muenchen.de",
+    ]
+    texts = [f"please write to {a} today or call" for a in whole]
+    for text, a, spans in zip(texts, whole, Detector(model).found(texts)):
+        assert [text[x:y] for x, y in spans["email"]] == [a]
+        assert any(x <= text.index(a) and text.index(a) + len(a) <= y for x, y in regions(text))
+    for text in ("@" * 50_000, "a" * 200_000 + "@", "a[dot]" * 20_000, "a [at] " * 20_000, "1" * 50_000):
+        regions(text)
+        written_out(text)
