@@ -48,7 +48,7 @@ SENTENCES = {
     "SpdxBsd3": "spdx license identifier bsd 3 clause",
     "SpdxGpl3": "spdx license identifier gpl 3 0",
 }
-STEMS = ["licens", "permission", "redistribution", "warranty", "gnu general", "public domain", "later version", "promote products"]
+STEMS = ["licens", "permission", "redistribution", "warranty", "domain", "later"]
 # Fixed values. Ordered rules: licence and its sequence of sentence identifiers; (x)? may miss.
 RULES = [
     ("BSD-3-Clause", "BsdUse BsdSource BsdBinary BsdEndorse"),

@@ -1,6 +1,6 @@
 import re
 
-from passagemill.llm.licenses import RULES, SENTENCES, scan
+from passagemill.llm.licenses import RULES, SENTENCES, STEMS, scan
 
 
 def brute(text):
@@ -30,3 +30,11 @@ def test_sequences(spark, odd, nothing):
 def test_no_python_in_the_plan(odd):
     plan = scan(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
+
+
+def test_wrapped_sentences_pass_the_prefilter(spark):
+    texts = [s.replace(" ", gap) for s in SENTENCES.values() for gap in (" ", "\n", " * ", ",\t")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.sentences, r.n_sentences, r.licences, r.unmatched) for r in scan(docs).collect())
+    assert got == [(k, *brute(t)) for k, t in enumerate(texts)] and all(g[2] for g in got)
+    assert all(any(x in s for x in STEMS) for s in SENTENCES.values()) and all(x.isalnum() for x in STEMS)
