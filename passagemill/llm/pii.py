@@ -68,7 +68,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     if not _DIGIT.search(text):
         return out
     for m in _IP.finditer(text):
-        if all(len(x.lstrip("0")) < 4 and int(x) < 256 for x in m[0].split(".")):
+        if all(len(x) < 4 and int(x or "0") < 256 for x in (y.lstrip("0") for y in m[0].split("."))):
             out["ip"].append(m.span())
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")

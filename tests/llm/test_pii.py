@@ -31,6 +31,11 @@ def test_base_spans_equal_the_patterns():
         assert base_spans(text) == brute(text), text
 
 
+def test_long_digit_runs():
+    text = "0" * 5000 + ".1.1.1 and " + "9" * 5000 + ".1.1.1 and " + "0" * 9000 + "7.0.0.1"
+    assert base_spans(text)["ip"] == [(0, 5006), (text.rindex(" ") + 1, len(text))]
+
+
 def test_gradients():
     rng = np.random.default_rng(1)
     small = train(labelled(4, 1), epochs=1, width=12, units=3, embed=4, batch=2)
