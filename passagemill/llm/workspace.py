@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where it is unset."""
+    """The session's checkpoint folder. Where it is unset, a temporary one if all runs on this machine, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir() if spark.sparkContext else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="passagemill-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
