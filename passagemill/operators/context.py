@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows checkpointed in the session's shared folder; a temporary one only where none is set."""
+    """The rows checkpointed in the session's shared folder. Where none is set, a temporary one if all runs on this machine, else an error."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="passagemill-"))
     return df.checkpoint()
 
