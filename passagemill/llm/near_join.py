@@ -19,7 +19,10 @@ Sets equal as a whole are one class and only its smallest document is indexed.
 A key's documents are compared with the key's smallest document first, and
 only where links leave a key with several components with further ones, block
 by block, so that every key's documents are of one component or were all
-compared. Candidates pass an exact bound on the symmetric difference (parity bits) and
+compared. There a pair is left to the smallest key that both documents are
+known to share: each carries its FIRST smallest open keys, so alike documents,
+which share many keys, meet as candidates about once and not once a key.
+Candidates pass an exact bound on the symmetric difference (parity bits) and
 are verified on the shingle sets of their whole texts.
 """
 
@@ -38,6 +41,7 @@ from .workspace import Workspace
 SKETCH = 16  # longs of parity bits
 WIDE = 16_384  # parity bits of sets with more than WIDE_FROM elements, for which the others are too few
 WIDE_FROM = 1_500
+FIRST = 16  # smallest open keys that a document carries; more make repeated candidates rarer
 BLOCK_ROWS = 2048  # documents of a key that are compared with as many in one piece
 BROADCAST_ROWS = 1_000_000  # ids; larger sides are joined by shuffle
 
@@ -196,10 +200,14 @@ def _runs(table: pa.Table, after: pa.Table | None, key, leader):
 
 
 def _compare(num: int, den: int, every: bool):
-    """Rows sorted by (key, p, q) to pairs of different components that the parity bits let through."""
+    """Rows sorted by (key, p, q) to pairs of different components that the parity bits let through.
 
-    def group(own, p, q, ids, c, n, bits):
-        a, b = np.flatnonzero(own == p[0]), np.flatnonzero(own == q[0])
+    A pair that surely meets under a smaller key is left to that key.
+    """
+
+    def group(key, own, p, q, ids, c, n, bits, first):
+        a, b = np.flatnonzero(own == p), np.flatnonzero(own == q)
+        below = first < key
         out, joined = [], {}
 
         def root(x):
@@ -210,12 +218,17 @@ def _compare(num: int, den: int, every: bool):
         for k in range(0, len(a), 128):
             i = a[k : k + 128]
             ok = c[i][:, None] != c[b][None]
-            ok &= (np.minimum(n[i][:, None], n[b]) * den >= np.maximum(n[i][:, None], n[b]) * num) & (ids[i][:, None] != ids[b])
+            ok &= (np.minimum(n[i][:, None], n[b]) * den >= np.maximum(n[i][:, None], n[b]) * num) & (ids[i][:, None] < ids[b] if p == q else True)
             x, y = np.nonzero(ok)
             for s in range(0, len(x), 100_000):
                 u, v = i[x[s : s + 100_000]], b[y[s : s + 100_000]]
                 differ = np.bitwise_count(bits[u] ^ bits[v]).sum(1, dtype=np.int64)
-                good = differ * (den + num) <= (n[u] + n[v]) * (den - num)
+                good = np.flatnonzero(differ * (den + num) <= (n[u] + n[v]) * (den - num))
+                for r in range(0, len(good), 4096):
+                    g, h = u[good[r : r + 4096]], v[good[r : r + 4096]]
+                    met = (first[g][:, :, None] == first[h][:, None, :]) & below[g][:, :, None]
+                    good[r : r + 4096][met.any((1, 2))] = -1
+                good = good[good >= 0]
                 for e, f in zip(u[good].tolist(), v[good].tolist()):
                     if not every:
                         g, h = root(int(c[e])), root(int(c[f]))
@@ -245,11 +258,12 @@ def _compare(num: int, den: int, every: bool):
         """Pairs of the table's groups; the last group only if told, as it may go on in the next batch."""
         at = ends(t)
         at = np.append(at, t.num_rows) if last else at
-        own, p, q, ids, c, n = (t[k].to_numpy() for k in ("own", "p", "q", "id", "c", "n"))
+        key, own, p, q, ids, c, n = (t[k].to_numpy() for k in ("key", "own", "p", "q", "id", "c", "n"))
+        first = t["first"].combine_chunks().flatten().to_numpy().reshape(-1, FIRST)
         bits = np.stack([t[f"s{i}"].to_numpy() for i in range(SKETCH)], 1).view(np.uint64)
         out = []
         for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
-            out += group(own[x:y], p[x:y], q[x:y], ids[x:y], c[x:y], n[x:y], bits[x:y])
+            out += group(key[x], own[x:y], p[x], q[x], ids[x:y], c[x:y], n[x:y], bits[x:y], first[x:y])
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(z, np.int64)) for z in zip(*out)], ["a", "b"])
 
@@ -365,12 +379,14 @@ class JaccardJoin:
             if rows.isEmpty():
                 ws.drop(rows)
                 return label
-            side = heads.select(F.col("doc_id").alias("id"), "n", *(f"s{i}" for i in range(SKETCH)))
+            smallest = F.slice(F.array_sort(F.collect_list("key")), 1, FIRST)
+            padded = F.slice(F.concat(smallest, F.array_repeat(F.lit(2**63 - 1), FIRST)), 1, FIRST)  # the largest long is below no key
+            side = heads.select(F.col("doc_id").alias("id"), "n", *(f"s{i}" for i in range(SKETCH))).join(rows.groupBy("id").agg(padded.alias("first")), "id")
             blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
             own = F.pmod(F.xxhash64("id", "key"), blocks).cast("int")
             dealt = rows.select("key", "id", "c", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
             dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "c").join(side, "id")
-            dealt = dealt.select("key", "p", "q", "own", "id", "c", "n", *(f"s{i}" for i in range(SKETCH)))
+            dealt = dealt.select("key", "p", "q", "own", "id", "c", "n", "first", *(f"s{i}" for i in range(SKETCH)))
             pairs = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_compare(self.num, self.den, every), "a long, b long").distinct()
             more = self._exact(pairs, heads, docs, ws)
             if not more.isEmpty():
