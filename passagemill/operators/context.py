@@ -6,18 +6,25 @@ import base64
 import json
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows checkpointed in the session's shared folder. Where none is set, a temporary one if all runs on this machine, else an error."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Where none is set, a temporary one if all runs on this machine, else an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="passagemill-"))
+        folder = "file://" + tempfile.mkdtemp(prefix="passagemill-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows checkpointed in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

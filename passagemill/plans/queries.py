@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -337,40 +338,69 @@ def phrase_index(spark, sf):
     return lexical.document_frequency(passages(spark, sf), 4)
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored_phrase_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The 4-gram index of a corpus, written once a session below the shared folder."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _STORED:
+        _STORED[at] = lexical.store_index(lexical.phrase_index(passages(spark, sf)), f"{context.shared_folder(spark)}/phrase-index-{uuid.uuid4().hex[:12]}")
+    return _STORED[at]
+
+
 @query(f" SELECT doc_id, passage_id FROM p WHERE contains({NORM}, 'PHRASE')")
 def phrase_index_search(spark, sf):
     """Index candidates and verification."""
     p = passages(spark, sf)
-    return lexical.phrase_lookup(p, lexical.phrase_index(p), PHRASE).select("doc_id", "passage_id")
+    return lexical.phrase_lookup(p, stored_phrase_index(spark, sf), PHRASE).select("doc_id", "passage_id")
 
 
-_TFIDF = f""", n AS (SELECT count(*) AS n FROM p), g AS (SELECT doc_id, unnest(list_concat({_GRAMS.format(t=NORM, n=5)}, {_GRAMS.format(t=NORM, n=6)})) AS term FROM p),
-c AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2), k AS (SELECT * FROM c WHERE NOT (term = repeat(substr(term, 1, 1), length(term)) OR (length(term) = 6 AND substr(term, 1, 3) = substr(term, 4, 3)))),
-v AS (SELECT term, count(*) AS df FROM k GROUP BY 1 HAVING count(*) BETWEEN 5 AND greatest(1, floor(0.05 * (SELECT n FROM n))) ORDER BY df DESC, term LIMIT 20000),
+_TFIDF = f""", n AS (SELECT count(*) AS n FROM p), g AS (SELECT doc_id, unnest(list_concat({_GRAMS.format(t=NORM, n=5)}, {_GRAMS.format(t=NORM, n=6)}, {_GRAMS.format(t=NORM, n=7)}, {_GRAMS.format(t=NORM, n=8)})) AS term FROM p),
+c AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2), k AS (SELECT * FROM c WHERE NOT (term = repeat(substr(term, 1, 1), length(term)) OR (length(term) % 2 = 0 AND substr(term, 1, length(term) // 2) = substr(term, length(term) // 2 + 1)))),
+v AS (SELECT term, count(*) AS df FROM k GROUP BY 1 HAVING count(*) BETWEEN 5 AND greatest(1, floor(0.05 * (SELECT n FROM n))) ORDER BY df DESC, term LIMIT 200000),
 i AS (SELECT term, df, ln((n - df + 0.5) / (df + 0.5) + 1) AS idf FROM v, n),
 r AS (SELECT doc_id, term, tf / sum(tf) OVER (PARTITION BY doc_id) * idf AS w FROM k JOIN i USING (term)),
 w AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM r)"""
 
 
-def _weights(p: DataFrame) -> DataFrame:
-    counts = lexical.term_counts(p)
-    return lexical.weights(counts, lexical.vocabulary(counts, p.count()))
+def _tfidf(p: DataFrame) -> lexical.TfIdf:
+    return lexical.TfIdf(lexical.vocabulary(lexical.term_frequencies(p), p.count()))
 
 
 @query(_TFIDF + " SELECT term, df, round(idf, 6) AS idf FROM i")
 def tfidf_vocabulary(spark, sf):
     """Terms within the frequency bounds."""
     p = passages(spark, sf)
-    return lexical.vocabulary(lexical.term_counts(p), p.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.vocabulary(lexical.term_frequencies(p), p.count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(_TFIDF + ", s AS (SELECT term, w AS sw FROM w WHERE doc_id = 7) SELECT doc_id, round(sum(w * sw), 6) AS score FROM w JOIN s USING (term) WHERE doc_id <> 7 GROUP BY 1 HAVING round(sum(w * sw), 6) > 0 ORDER BY score DESC, doc_id LIMIT 20")
 def tfidf_similar(spark, sf):
     """Cosine to a seed."""
-    return lexical.similar(_weights(passages(spark, sf)), SEED)
+    p = passages(spark, sf)
+    return _tfidf(p).similar(p, SEED)
+
+
+_ITEM = "SELECT regexp_replace(text, '[^\\pL\\pN\\pM]+', '', 'g') AS t FROM benchmark ORDER BY item_id LIMIT 1"
 
 
-@query(f", s AS (SELECT zh_text_normalized AS t FROM p WHERE doc_id = 7), q AS (SELECT DISTINCT substr(t, i + 1, 6) AS phrase FROM s, unnest(range(40)) AS r(i) WHERE length(substr(t, i + 1, 6)) = 6), h AS (SELECT phrase, source_work_id FROM p JOIN q ON contains({NORM}, phrase) WHERE doc_id <> 7), c AS (SELECT phrase, 6 AS length, count(*) AS total, count(DISTINCT source_work_id) AS sources FROM h GROUP BY 1) SELECT phrase, length, total, sources, round(least(1.0, length / 8 + least(total, 20) / 40 + sources / 20), 6)::DOUBLE AS graph_value FROM c WHERE total BETWEEN 2 AND 200 ORDER BY graph_value DESC, sources DESC, length DESC, total, phrase LIMIT 20")
+@query(_TFIDF + f", qt AS ({_ITEM}), qg AS (SELECT DISTINCT unnest(list_concat({_GRAMS.format(t='t', n=5)}, {_GRAMS.format(t='t', n=6)}, {_GRAMS.format(t='t', n=7)}, {_GRAMS.format(t='t', n=8)})) AS term FROM qt), qw AS (SELECT term, idf / (SELECT count(*) FROM qg) AS w FROM qg JOIN i USING (term)), s AS (SELECT term, w / sqrt(sum(w * w) OVER ()) AS sw FROM qw) SELECT doc_id, round(sum(w * sw), 6) AS score FROM w JOIN s USING (term) GROUP BY 1 HAVING round(sum(w * sw), 6) > 0 ORDER BY score DESC, doc_id LIMIT 20")
+def tfidf_text_query(spark, sf):
+    """Documents by a text's weights."""
+    p = passages(spark, sf)
+    item = table(spark, sf, "benchmark").orderBy("item_id").select(T.normalize(F.col("text")).alias("t")).first()
+    return _tfidf(p).query(p, item.t if item else "")
+
+
+@query(_TFIDF + ", s AS (SELECT term, w AS sw FROM w WHERE doc_id = 7), near AS (SELECT doc_id, round(sum(w * sw), 6) AS c FROM w JOIN s USING (term) WHERE doc_id <> 7 GROUP BY 1 HAVING round(sum(w * sw), 6) > 0 ORDER BY c DESC, doc_id LIMIT 20), sp AS (SELECT zh_text_normalized AS st, source_rel_path AS sf, canon AS sc, period AS sper FROM p WHERE doc_id = 7), b AS (SELECT p.*, near.c, sp.*, (SELECT count(*) FROM w JOIN s USING (term) WHERE w.doc_id = p.doc_id AND length(term) >= 6) AS lg FROM near JOIN p USING (doc_id), sp), lens AS (SELECT doc_id, n, CASE WHEN length(zh_text_normalized) < length(st) THEN zh_text_normalized ELSE st END AS sh, CASE WHEN length(zh_text_normalized) < length(st) THEN st ELSE zh_text_normalized END AS lo FROM b, unnest(range(4, 25)) AS r(n)), sub AS (SELECT doc_id, n, list_intersect(list_transform(range(greatest(length(sh) - n + 1, 0)), lambda i: substr(sh, i + 1, n)), list_transform(range(greatest(length(lo) - n + 1, 0)), lambda i: substr(lo, i + 1, n))) AS x FROM lens), best AS (SELECT doc_id, coalesce(max(n) FILTER (len(x) > 0), 0) AS m FROM sub GROUP BY 1) SELECT doc_id, c AS tfidf_cosine, round(c * CASE WHEN source_rel_path = sf THEN 0.60 ELSE 1.10 END * CASE WHEN length(zh_text_normalized) BETWEEN 1 AND 14 THEN 0.70 ELSE 1.0 END * CASE WHEN m >= 8 THEN 1.25 WHEN m >= 5 THEN 1.10 WHEN m = 0 THEN 0.75 ELSE 1.0 END * CASE WHEN lg >= 3 THEN 1.15 WHEN lg >= 1 THEN 1.05 ELSE 1.0 END * CASE WHEN period <> sper AND period <> '' THEN 1.05 ELSE 1.0 END, 6)::DOUBLE AS graph_candidate_score, CASE WHEN source_rel_path = sf THEN 'downrank_same_file' WHEN length(zh_text_normalized) BETWEEN 1 AND 14 THEN 'downrank_short_passage' WHEN m >= 6 AND lg >= 2 THEN 'ring1_candidate' WHEN lg >= 1 OR m >= 4 THEN 'ring2_motif' ELSE 'ring3_weak' END AS ring_hint, lg AS long_gram_count, m::INTEGER AS max_lcs_len FROM b JOIN best USING (doc_id)")
+def similar_evidence(spark, sf):
+    """A seed's neighbours with shared terms, common phrases and a weighed score."""
+    p = passages(spark, sf)
+    return _tfidf(p).evidence(p, SEED).select("doc_id", "tfidf_cosine", "graph_candidate_score", "ring_hint", "long_gram_count", "max_lcs_len")
+
+
+@query(f", s AS (SELECT zh_text_normalized AS t FROM p WHERE doc_id = 7), g AS (SELECT DISTINCT substr(t, i + 1, n) AS phrase FROM s, unnest(range(4, 11)) AS r(n), unnest(range(greatest(length(t) - n + 1, 0))) AS o(i)), q AS (SELECT phrase FROM g WHERE phrase <> repeat(substr(phrase, 1, 1), length(phrase)) AND (length(phrase) % 2 = 1 OR substr(phrase, 1, length(phrase) // 2) <> substr(phrase, length(phrase) // 2 + 1)) ORDER BY length(phrase) DESC, phrase DESC LIMIT 40), h AS (SELECT phrase, source_work_id FROM p JOIN q ON contains({NORM}, phrase) WHERE doc_id <> 7), c AS (SELECT phrase, length(phrase)::INTEGER AS length, count(*) AS total, count(DISTINCT source_work_id) AS sources FROM h GROUP BY 1) SELECT phrase, length, total, sources, round(least(1.0, length / 8 + least(total, 20) / 40 + sources / 20), 6)::DOUBLE AS graph_value FROM c WHERE total BETWEEN 2 AND 200 ORDER BY graph_value DESC, sources DESC, length DESC, total, phrase LIMIT 20")
 def frontier(spark, sf):
     """Phrases of a seed in other passages, in one scan."""
     p = passages(spark, sf)
@@ -482,7 +512,7 @@ def timeline_graph(spark, sf):
     return evidence.timeline_edges(search.hits(passages(spark, sf), PHRASE))
 
 
-@query("WITH i AS (SELECT event_id, event_type, user_id FROM events WHERE user_id < 20) SELECT a.event_id AS source, b.event_id AS target, 'same_seed' AS relation FROM i a JOIN i b ON a.user_id = b.user_id AND a.event_id <> b.event_id WHERE a.event_type = (SELECT min(event_type) FROM events)", False)
+@query("WITH i AS (SELECT event_id, event_type, user_id FROM events) SELECT a.event_id AS source, b.event_id AS target, 'same_seed' AS relation FROM i a JOIN i b ON a.user_id = b.user_id AND a.event_id <> b.event_id WHERE a.event_type = (SELECT min(event_type) FROM events)", False)
 def registry_edges(spark, sf):
     """Items of one seed linked to its packets."""
     events = table(spark, sf, "events")
@@ -525,9 +555,11 @@ def embedding_inputs(spark, sf):
 @query(_TFIDF + ", a AS (SELECT term, w AS wa FROM w WHERE doc_id = 7), b AS (SELECT term, w AS wb FROM w WHERE doc_id = (SELECT doc_id FROM w JOIN a USING (term) WHERE doc_id <> 7 GROUP BY 1 ORDER BY round(sum(w * wa), 6) DESC, doc_id LIMIT 1)) SELECT term, round(wa * wb, 8) AS contribution FROM a JOIN b USING (term) ORDER BY contribution DESC, length(term) DESC, term LIMIT 12")
 def shared_ngrams(spark, sf):
     """Terms of a seed and its nearest document."""
-    w = _weights(passages(spark, sf))
-    best = lexical.similar(w, SEED, 1).first()
-    return lexical.shared_terms(w, SEED, best.doc_id if best else SEED)
+    p = passages(spark, sf)
+    model = _tfidf(p)
+    best = model.similar(p, SEED, 1).first()
+    pair = model.weights(p.where(F.col("doc_id").isin([SEED, best.doc_id if best else SEED])))
+    return lexical.shared_terms(pair, SEED, best.doc_id if best else SEED)
 
 
 @query(" SELECT passage_id, strpos(zh_text_raw, 'the ') > 0 AS has, div_path, string_split(div_path, ' / ') AS parts, CASE WHEN from_lb IS NOT NULL THEN from_lb || '-' || to_lb ELSE '' END AS locator, trim(regexp_replace(heading, '\\s+', ' ', 'g')) AS heading FROM p")

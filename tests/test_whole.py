@@ -69,3 +69,24 @@ def test_frontier_reads_the_whole_seed(spark, tmp_path):
     p = base.passages(spark, f"file://{tmp_path}")
     assert [tuple(x.values()) for x in tools.call(tools.Corpus(p), "frontier", {"seed": base.SEED})["rows"]] == want[:20]
     assert base.lexical.frontier(p, base.SEED, []).count() == 0
+
+
+def test_gram_counts_by_alphabet_and_piece(spark, monkeypatch):
+    from passagemill.functions import grams
+    from passagemill.operators import lexical
+
+    texts = ["中A國中國", None, "", "aabaab", "ab" * 30, "如是如是我聞🙂"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, zh_text_normalized string")
+    for alphabet, keep in (("letters", lambda c: True), ("cjk", lambda c: "㐀" <= c <= "鿿")):
+        want = Counter()
+        for t in texts:
+            s = "".join(c for c in t or "" if keep(c))
+            want.update({g for n in (1, 2, 4, 6) for i in range(len(s) - n + 1) if len(set(g := s[i : i + n])) > 1 and not (n >= 4 and g[: n // 2] == g[n // 2 :])})
+        assert {r.term: r.df for r in lexical.term_frequencies(df, (1, 2, 4, 6), alphabet).collect()} == want
+    monkeypatch.setattr(grams, "PIECE", 3)
+    assert [(at, piece.joined) for at, piece in grams.pieces(texts[:4], "letters")] == [(0, "中A國中國"), (1, "aabaab")]
+    index = lexical.phrase_index(df, 2)
+    assert {(r.gram, r.doc_id) for r in index.collect()} == {(t[i : i + 2], d) for d, t in enumerate(texts) for i in range(len(t or "") - 1)}
+    words = grams.Vocabulary(["ab", "國中", "ba"])
+    at, term = words.find(grams.Piece(["中A國中國ab"], "letters").hashes(2))
+    assert at.tolist() == [2, 5] and term.tolist() == [1, 0]
