@@ -3,9 +3,12 @@
 The page is read into a tree of block elements. A paragraph passes points for
 its length and commas to its parent and half of them to its grandparent; a
 container's points are discounted by the share of its text inside links. The
-best container and those of its siblings that come near it are kept, without
-the subtrees that are menus, headers, footers, sidebars, notices, adverts,
-forms, code or reader comments by their element, role, class or id.
+best container, the paragraphs beside it and those of its siblings that come
+near it are kept, without the subtrees that are menus, headers, footers,
+sidebars, notices, adverts, forms, code or reader comments by their element,
+role, class or id. Of names that an article's own blocks bear as well ("share",
+"related", "widget-text") those inside an article count only where the block is
+mostly links or holds no sentence.
 """
 
 from __future__ import annotations
@@ -27,10 +30,21 @@ SIBLINGS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr",)
 LEAVES = frozenset("p pre h1 h2 h3 h4 h5 h6 li blockquote dd dt tr figcaption caption summary address".split())
 PRIOR = {"article": 30.0, "main": 15.0, "section": 2.0, "div": 1.0, "body": -3.0, "html": -10.0}
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
-NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banners?|breadcrumbs?|comments?|commentlist|disqus|cookies?|consent|gdpr|footer|header|masthead|menus?|nav|navbar|navigation|newsletter|notices?|alerts?|popups?|modal|overlay|promos?|promotion|related|recommended|replies|reply|respond|share|sharing|sidebars?|social|sponsors?|sponsored|subscribe|subscription|toolbar|widgets?|signup|login|paywall|pagination|pager)(?=$|[\s_-])", re.I)
+# Words of class and id names of what is no article, and of what may be one inside an article.
+NOISE_WORDS = "ads? adverts? advertisements? advertising adsense banners? breadcrumbs? comments? commentlist disqus cookies? consent gdpr footer masthead menus? nav navbar navigation newsletter popups? modal overlay replies respond sidebars? sponsors? sponsored subscribe subscription toolbar signup login paywall pagination pager"
+SUSPECT_WORDS = "header notices? alerts? promos? promotion related recommended reply share sharing social widgets?"
+
+
+def _named(words: str) -> re.Pattern:
+    return re.compile(rf"(?:^|[\s_-])(?:{words.replace(' ', '|')})(?=$|[\s_-])", re.I)
+
+
+NOISE, SUSPECT = _named(NOISE_WORDS), _named(SUSPECT_WORDS)
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$|[\"'])", re.I)
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 SIBLING_SHARE = 0.2
+LINKED_SHARE = 0.3  # share of link text from which a suspect block of an article is dropped
+SENTENCE = re.compile(r"[.,;:!?。，！？…]")
 
 
 def _tag_end(text: str, at: int) -> int:
@@ -54,7 +68,7 @@ class Page:
     """Block elements in page order with parents, and the text blocks in them."""
 
     def __init__(self, text: str):
-        self.tag, self.parent, self.stop, self.noise = ["#page"], [-1], [0], [False]
+        self.tag, self.parent, self.stop, self.noise, self.suspect = ["#page"], [-1], [0], [False], [0]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self.open, self.count = [0], {}
         self.link = 0
@@ -72,16 +86,21 @@ class Page:
     def _push(self, tag: str, rest: str) -> None:
         self._flush()
         up = self.open[-1]
-        noise = self.noise[up] or tag in DROPPED or tag == "header" and not self.count.get("article")
+        inside = self.count.get("article", 0) > 0
+        noise = self.noise[up] or tag in DROPPED or tag == "header" and not inside
+        suspect = self.suspect[up]
         if not noise and rest and tag not in ("html", "body", "main", "article"):
             for m in ATTRIBUTE.finditer(rest):
                 name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip()
-                if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES or name in ("class", "id") and NOISE.search(value):
+                if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES or name in ("class", "id") and (NOISE.search(value) or not inside and SUSPECT.search(value)):
                     noise = True
+                elif name in ("class", "id") and not suspect and SUSPECT.search(value):
+                    suspect = len(self.tag)
         self.tag.append(tag)
         self.parent.append(up)
         self.stop.append(0)
         self.noise.append(noise)
+        self.suspect.append(suspect)
         self.open.append(len(self.tag) - 1)
         self.count[tag] = self.count.get(tag, 0) + 1
 
@@ -161,8 +180,23 @@ class Page:
         self._flush()
         self.stop[0] = len(self.tag)
 
+    def _clear(self) -> None:
+        """Drop the blocks of suspect elements that are mostly links or hold no sentence."""
+        held: dict[int, list[tuple[str, int]]] = {}
+        for k, words, in_links in self.blocks:
+            if self.suspect[k]:
+                held.setdefault(self.suspect[k], []).append((words, in_links))
+        drop = set()
+        for root, found in held.items():
+            size = sum(len(w) for w, _ in found)
+            if sum(n for _, n in found) > LINKED_SHARE * size or not any(SENTENCE.search(w) for w, _ in found) and size <= 40:
+                drop.add(root)
+        if drop:
+            self.blocks = [x for x in self.blocks if self.suspect[x[0]] not in drop]
+
     def main_text(self) -> str:
         """The kept blocks joined by empty lines."""
+        self._clear()
         if not self.blocks:
             return ""
         score: dict[int, float] = {}
@@ -185,7 +219,17 @@ class Page:
         best = max(ranked, key=lambda k: (ranked[k], -k))
         keep = [k for k in ranked if k == best or self.parent[k] == self.parent[best] and self.tag[k] not in LEAVES and ranked[k] >= SIBLING_SHARE * ranked[best] > 0]
         spans = sorted((k, self.stop[k]) for k in keep)
-        return "\n\n".join(words for k, words, _ in self.blocks if any(a <= k < b for a, b in spans) or self.parent[k] == self.parent[best] and self.tag[k] in LEAVES and len(words) > 80)
+        beside = self.parent[best]
+        bare = self.tag[beside] in ("body", "html", "#page") if beside >= 0 else True
+
+        def kept(k: int, words: str, in_links: int) -> bool:
+            if any(a <= k < b for a, b in spans):
+                return True
+            if self.parent[k] != beside or self.tag[k] not in LEAVES or 2 * in_links > len(words):
+                return False
+            return not bare or len(words) > 80 or SENTENCE.search(words[-1]) is not None and not in_links
+
+        return "\n\n".join(words for k, words, in_links in self.blocks if kept(k, words, in_links))
 
 
 def main_text(page: str | None) -> str:
@@ -199,6 +243,10 @@ def _extract(batches):
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per row: id, url, text (empty if none), n_chars. Null pages are empty."""
+    """One row per row: id, url, text (empty if none), n_chars.
+
+    Null, empty and tagless pages are read like any other; repeated rows and ties of ids give a row each; extra columns
+    are ignored; very long pages are read whole, in memory of a few times their size; an empty table gives no rows.
+    """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(_extract, "id long, url string, text string, n_chars long").withColumnRenamed("id", id_col)

@@ -32,6 +32,15 @@ def test_noise_goes(page):
     assert main_text(page) == "Head\n\nOne, two & three.\n\nFour five."
 
 
+def test_short_paragraphs_and_suspect_names_of_an_article_stay():
+    long = "<div>" + "<p>Many words, with commas, in a long paragraph of the article.</p>" * 4 + "</div>"
+    assert main_text(f"<div><p>Short intro.</p>{long}<p>Short end.</p></div>").startswith("Short intro.\n\nMany") and main_text(f"<div><p>Short intro.</p>{long}<p>Short end.</p></div>").endswith("\n\nShort end.")
+    for name in ("widget-text", "related", "share", "alert"):
+        page = f'<article><h1>Head</h1><p>One, two.</p><div class="{name}"><p>Body, here</p></div><div class="{name}"><a href="/">More, of this</a></div></article><div class="{name}"><p>Out, there.</p></div>'
+        assert main_text(page) == "Head\n\nOne, two.\n\nBody, here"
+    assert main_text(f'<body><p><a href="/">Skip to, the text.</a></p>{long}<p>Copyright</p><p>The end.</p></body>').endswith("article.\n\nThe end.")
+
+
 def test_odd_pages(spark):
     cases = {None: "", "": "", "<": "<", "a < b": "a < b", "<p>x": "x", "<p>a<!-- <p>b -->c": "ac", "<p>&lt;b&gt; &#65;&#x42;": "<b> AB", "<div " * 50: "", "<script>never closed <p>x": "", "plain": "plain"}
     for page, want in cases.items():
