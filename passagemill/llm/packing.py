@@ -4,9 +4,10 @@ A document longer than a window is cut into full windows and a rest. Each rest
 goes into the open window whose choice makes the sum over fill levels of
 (number of open windows at that level) squared smallest; the counts per level
 are one array. Every partition packs its own documents, so nothing is shuffled
-or held but the open windows. What is still open when a partition ends is laid
-end to end and cut anew into full windows and, for the last tokens, windows of
-powers of two, which need no padding.
+or held but the open windows. When a partition ends, or more windows are open
+than are to be held, the fullest windows keep what was placed in them and are
+filled up with the pieces of the emptiest, cut where that is needed. The one
+window that is left is cut into windows of powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 KNOWN_CHUNKS = 500_000  # encoded chunks that a worker keeps
 LONG_CHUNK = 2000  # characters from which a chunk goes to the tokenizers library
-OPEN_WINDOWS = 2048  # open windows a task holds before the fullest is closed
+OPEN_WINDOWS = 4096  # open windows a task holds before half of them are filled up
 
 
 def _byte_letters() -> dict[str, int]:
@@ -129,47 +130,62 @@ class SumOfSquares:
             k = int(np.argmin(gain))
             if gain[k] <= best:
                 best, at = gain[k], int(have[k])
-        if at:
-            window = self.open[at].pop()
-            count[at] -= 1
-            self.n_open -= 1
-        else:
-            window = []
+        window = self._take(at) if at else []
         window.append(piece)
         if at + n == size:
             return window
-        self.open[at + n].append(window)
-        count[at + n] += 1
-        self.n_open += 1
+        self._put(window, at + n)
         return None
 
-    def fullest(self) -> list[list]:
-        """Take out the windows that are fullest, half of those open."""
-        out: list[list] = []
-        for level in range(self.size - 1, 0, -1):
-            while self.open[level] and len(out) < max(1, self.n_open // 2):
-                out.append(self.open[level].pop())
-                self.count[level] -= 1
-        self.n_open -= len(out)
-        return out
-
-    def drain(self) -> list[list]:
-        out = [w for level in self.open for w in level]
-        self.open = [[] for _ in range(self.size + 1)]
-        self.count[:] = 0
-        self.n_open = 0
-        return out
+    def top_up(self, most: int):
+        """Yield the fullest windows, filled up from the emptiest, until at most ``most`` (one at least) are open."""
+        size, high, low = self.size, self.size - 1, 1
+        while self.n_open > max(1, most):
+            while not self.open[high]:
+                high -= 1
+            window, gap = self._take(high), size - high
+            while gap:
+                while not self.open[low]:
+                    low += 1
+                    if low == size:  # nothing is left to fill it with
+                        self._put(window, size - gap)
+                        return
+                donor, held = self._take(low), low
+                while gap and donor:
+                    doc, start, ids, total = donor.pop()
+                    n = len(ids) // 4
+                    take = min(n, gap)
+                    window.append((doc, start, ids[: 4 * take], total))
+                    if take < n:
+                        donor.append((doc, start + take, ids[4 * take :], total))
+                    gap, held = gap - take, held - take
+                if donor:
+                    self._put(donor, held)
+                    low = min(low, held)
+            yield window
+
+    def _take(self, level: int) -> list:
+        self.count[level] -= 1
+        self.n_open -= 1
+        return self.open[level].pop()
+
+    def _put(self, window: list, level: int) -> None:
+        self.open[level].append(window)
+        self.count[level] += 1
+        self.n_open += 1
 
+    def finish(self):
+        """Yield what is open as full windows and, of the last one, windows of powers of two."""
+        yield from self.top_up(1)
+        for level in range(1, self.size):
+            while self.open[level]:
+                yield from cut_in_powers(self._take(level))
 
-def recut(windows: list[list], size: int):
-    """Lay the pieces (doc, start, ids, total) of open windows end to end and cut anew.
 
-    Yields windows of ``size`` tokens, then windows of powers of two for the rest.
-    """
-    pieces = [p for w in windows for p in w]
+def cut_in_powers(pieces: list):
+    """Cut the pieces (doc, start, ids, total) of one window into windows of powers of two, the largest first."""
     left = sum(len(p[2]) // 4 for p in pieces)
-    fit = lambda: size if left >= size else 1 << max(0, left.bit_length() - 1)
-    room, window = fit(), []
+    room, window = 1 << max(0, left.bit_length() - 1), []
     for doc, start, ids, total in pieces:
         at, n = 0, len(ids) // 4
         while at < n:
@@ -178,7 +194,7 @@ def recut(windows: list[list], size: int):
             at, room, left = at + take, room - take, left - take
             if not room:
                 yield window
-                room, window = fit(), []
+                room, window = 1 << max(0, left.bit_length() - 1), []
 
 
 def _pack(path: str, size: int, end_id: int):
@@ -214,11 +230,11 @@ def _pack(path: str, size: int, end_id: int):
                     if full:
                         emit(full)
                 if packer.n_open > OPEN_WINDOWS:
-                    for window in recut(packer.fullest(), size):
+                    for window in packer.top_up(OPEN_WINDOWS // 2):
                         emit(window)
             if rows:
                 yield out()
-        for window in recut(packer.drain(), size):
+        for window in packer.finish():
             emit(window)
         if rows:
             yield out()

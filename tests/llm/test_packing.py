@@ -76,3 +76,33 @@ def test_placement_takes_the_level_with_the_least_squares():
                 options[h] = (before[h] - 1) ** 2 - before[h] ** 2 + ((before[h + n] + 1) ** 2 - before[h + n] ** 2 if h + n < 16 else 0)
         p.place(("d", 0, b"", 0), n)
         assert (p.count[1:16] ** 2).sum() - (before[1:16] ** 2).sum() == min(options.values())
+
+
+def test_topping_up_keeps_what_was_placed():
+    r = random.Random(6)
+    p, full, whole = SumOfSquares(64), [], 0
+    for d in range(500):
+        n = r.randint(1, 63)
+        full += [w for w in [p.place((d, 0, bytes(4 * n), n), n)] if w]
+    placed = len(full)
+    before = sum(len(w) for level in p.open for w in level)
+    half = list(p.top_up(p.n_open // 2))
+    rest = list(p.finish())
+    for w in half + rest:
+        n = sum(len(x[2]) // 4 for x in w)
+        assert n == 64 or n & (n - 1) == 0
+        whole += sum(len(x[2]) // 4 == x[3] for x in w)
+    assert placed > 0 and p.n_open == 0 and not p.count.any()
+    assert all(sum(len(x[2]) // 4 for x in w) == 64 for w in half)
+    assert whole > before // 2
+    got = defaultdict(list)
+    for w in full + half + rest:
+        for d, start, ids, n in w:
+            got[d].append((start, len(ids) // 4, n))
+    for parts in got.values():
+        at = 0
+        for start, n, total in sorted(parts):
+            assert start == at
+            at += n
+        assert at == total
+    assert len(got) == 500
