@@ -76,10 +76,10 @@ def op9_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.captures(table(spark, sf_dir, "pages"))
     return back.select(
         "metadata.page_id",
-        "metadata.payload_bytes",
+        F.coalesce("response.length", "revisited.length").alias("payload_bytes"),
         F.col("response.digest").alias("payload_digest"),
         F.col("response.kind").alias("record_type"),
-        F.col("metadata.refers_to_page").alias("refers_to"),
+        F.col("revisited.page_id").alias("refers_to"),
     )
 
 
@@ -105,6 +105,13 @@ _BLOCKED = " OR ".join(f"host LIKE '{g.replace('*', '%')}'" for g in url_filter.
 
 ORACLES = {
     "op7_sentence_rules": licenses.oracle(),
+    "op9_transactions": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS latest FROM p),
+d AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(hex, 5 * i + 1, 5))::BIGINT) AS v FROM h)
+SELECT page_id, payload_bytes,
+  array_to_string(flatten(list_transform(v, lambda x: list_transform([15, 10, 5, 0], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((x >> k) & 31) + 1)::BIGINT, 1)))), '') AS payload_digest,
+  CASE WHEN page_id < latest THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < latest THEN latest END AS refers_to FROM d""",
     "op3_shift_and": rf"""
 WITH r AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),

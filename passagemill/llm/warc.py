@@ -4,8 +4,9 @@ Writing: each page is a request, a response or revisit, and a metadata record
 tied together by concurrent-to identifiers, written by Spark's text writer with
 the blank lines that end a WARC record as separator. Of pages with equal
 payloads the one with the largest id is the response, the others revisit it.
-Reading: files are parsed by content length, and records are joined into one
-nested row per capture through the identifiers.
+Reading: files are parsed by content length, records are joined into one nested
+row per capture through the identifiers, and a revisit is joined with the
+response that its WARC-Refers-To names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from .workspace import Workspace
 
 END = "\r\n\r\n"
 DATE = "2000-01-01T00:00:00Z"
-FILE_BYTES = 32 << 20  # payload bytes that a file is meant to hold
+PART_BYTES = 8 << 20  # records are written in parts of this size, or of one capture if that is larger
+FILE_PARTS = 4  # parts in a file
 BROADCAST_ROWS = 500_000
 RECORDS = "record_id string, capture string, kind string, target_uri string, digest string, refers_to string, length long, fields map<string,string>, payload binary"
 
@@ -53,7 +55,7 @@ def records_of(page, url: str | None, html: str, first, first_url: str | None) -
     path = re.sub(r"^[^:/?#]*://[^/?#]*", "", _clean(url or "")).partition("#")[0] or "/"
     host = re.search(r"://([^/?#]*)", _clean(url or ""))
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}{END}"
-    about = [f"pageId: {'' if page is None else page}", f"payloadBytes: {len(payload)}", f"refersToPage: {'' if first is None else first}"]
+    about = f"pageId: {'' if page is None else page}"
     head = [*target, ("WARC-Payload-Digest", f"sha1:{digest}")]
     if first is None:
         main = _record("response", name, head, http + html, "application/http;msgtype=response")
@@ -63,43 +65,49 @@ def records_of(page, url: str | None, html: str, first, first_url: str | None) -
     return [
         _record("request", _name("request", page, digest, url), tied, f"GET {path} HTTP/1.1\r\nHost: {host[1] if host else ''}{END}", "application/http;msgtype=request"),
         main,
-        _record("metadata", _name("metadata", page, digest, url), tied, "\r\n".join(about), "application/warc-fields"),
+        _record("metadata", _name("metadata", page, digest, url), tied, about, "application/warc-fields"),
     ]
 
 
-def _to_records(batches):
-    for batch in batches:
-        out, held = [], 0
-        for page, url, html, first, first_url in zip(*(c for c in batch.columns)):
-            made = records_of(page.as_py(), url.as_py(), html.as_py(), first.as_py(), first_url.as_py())
-            out += made
-            held += sum(map(len, made))
-            if held > 8 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(out)], ["value"])
-                out, held = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out)], ["value"])
+def _to_records(part_bytes: int):
+    """Rows of several records with what separates them, so that a file's size hangs on bytes and not on a count of records."""
+
+    def run(batches):
+        part, held = [], 0
+        for batch in batches:
+            for page, url, html, first, first_url in zip(*(c for c in batch.columns)):
+                made = records_of(page.as_py(), url.as_py(), html.as_py(), first.as_py(), first_url.as_py())
+                size = sum(map(len, made))
+                if part and held + size > part_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([END.join(part)])], ["value"])
+                    part, held = [], 0
+                part += made
+                held += size
+        if part:
+            yield pa.RecordBatch.from_arrays([pa.array([END.join(part)])], ["value"])
+
+    return run
 
 
-def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
+def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", part_bytes: int = PART_BYTES) -> None:
     """Write the pages as gzipped WARC files below ``path``.
 
     Null payloads are empty; empty payloads are equal ones like any other. A
-    null url leaves out the target. An empty table writes no records.
+    null url leaves out the target. Repeated rows are written each, extra
+    columns are ignored, ties of ids among equal payloads are all responses.
+    An empty table writes no records.
     """
     spark = pages.sparkSession
     ws = Workspace(spark, "warc")
     pages = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("body"))
     pages = pages.withColumn("sha", F.sha1("body"))
-    facts = ws.write(pages.select("page", "url", "sha", F.octet_length("body").cast("long").alias("bytes")), "facts")
+    facts = ws.write(pages.select("page", "url", "sha"), "facts")
     groups = facts.groupBy("sha").agg(F.max(F.struct("page", "url")).alias("first"), F.count("*").alias("n")).where("n > 1")
     groups = ws.write(groups.select("sha", F.col("first.page").alias("first"), F.col("first.url").alias("first_url")), "groups")
-    mean = facts.agg(F.avg("bytes")).first()[0] or 0
     side = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
     again = F.col("page") < F.col("first")
     rows = pages.join(side, "sha", "left").select("page", "url", "body", F.when(again, F.col("first")).alias("first"), F.when(again, F.col("first_url")).alias("first_url"))
-    per_file = 3 * max(1, min(1_000_000, int(FILE_BYTES // max(1, mean + 1000))))
-    rows.mapInArrow(_to_records, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    rows.mapInArrow(_to_records(part_bytes), "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_PARTS).text(path)
     ws.drop(facts, groups)
 
 
@@ -170,19 +178,37 @@ def assemble(records: DataFrame) -> DataFrame:
     def pick(kinds: list[str], *cols: str):
         return F.max(F.when(F.col("kind").isin(kinds), F.struct(*cols)))
 
-    flat = records.withColumn("page_id", F.expr("try_cast(fields['pageId'] as bigint)")).withColumn("payload_bytes", F.expr("try_cast(fields['payloadBytes'] as bigint)")).withColumn("refers_to_page", F.expr("try_cast(fields['refersToPage'] as bigint)"))
+    flat = records.withColumn("page_id", F.expr("try_cast(fields['pageId'] as bigint)"))
     rows = flat.groupBy("capture").agg(
         pick(["request"], "record_id", "target_uri").alias("request"),
         pick(["response", "revisit"], "kind", "record_id", "target_uri", "digest", "refers_to", "length", "payload").alias("response"),
-        pick(["metadata"], "record_id", "page_id", "payload_bytes", "refers_to_page").alias("metadata"),
+        pick(["metadata"], "record_id", "page_id").alias("metadata"),
         F.greatest(F.count_if(F.col("kind").isin("response", "revisit")), F.lit(1)).alias("n"),
     )
     return rows.select("capture", "request", "response", "metadata", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("writing")).drop("writing")
 
 
+def resolve(rows: DataFrame) -> DataFrame:
+    """Captures with the response that a revisit refers to: column ``revisited`` (page_id, length), null for responses and where it is missing.
+
+    A payload that very many captures revisit is one row of the small side; beyond the broadcast's bound the join's
+    skewed partitions are split by Spark.
+    """
+    targets = rows.where("response.kind = 'response'").select(F.col("response.record_id").alias("_id"), F.struct(F.col("metadata.page_id").alias("page_id"), F.col("response.length").alias("length")).alias("revisited"))
+    named = rows.where("response.kind = 'revisit'").select(F.col("response.refers_to").alias("_id")).distinct()
+    found = Workspace(rows.sparkSession, "revisited").write(targets.join(named, "_id", "left_semi").groupBy("_id").agg(F.max("revisited").alias("revisited")), "targets")
+    side = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    refers = F.when(F.col("response.kind") == "revisit", F.col("response.refers_to"))
+    return rows.withColumn("_id", refers).join(side, "_id", "left").drop("_id")
+
+
 def captures(pages: DataFrame, path: str | None = None, with_payload: bool = False) -> DataFrame:
-    """Write ``pages`` as an archive (below the shared folder unless given) and read its captures back."""
+    """Write ``pages`` as an archive (below the shared folder unless given) and read its captures back, revisits resolved.
+
+    Null and blank payloads are captures like any other; a repeated row is a capture of its own.
+    """
     spark = pages.sparkSession
-    path = path or Workspace(spark, "archive").path("warc")
+    ws = Workspace(spark, "archive")
+    path = path or ws.path("warc")
     write_archive(pages, path)
-    return assemble(read_records(spark, path, with_payload))
+    return resolve(ws.write(assemble(read_records(spark, path, with_payload)), "captures"))

@@ -5,7 +5,7 @@ import hashlib
 import pytest
 
 from passagemill.llm.queries import op9_transactions, table
-from passagemill.llm.warc import RECORDS, assemble, captures, parse, records_of, write_archive
+from passagemill.llm.warc import RECORDS, assemble, captures, parse, records_of, resolve, write_archive
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,7 +23,7 @@ def brute(rows):
 
 
 def rows_of(df):
-    return sorted(((r.metadata.page_id, r.metadata.payload_bytes, r.response.digest, r.response.kind, r.metadata.refers_to_page) for r in df.collect()), key=str)
+    return sorted(((r.metadata.page_id, r.response.length if r.revisited is None else r.revisited.length, r.response.digest, r.response.kind, r.revisited and r.revisited.page_id) for r in df.collect()), key=str)
 
 
 def test_table(spark):
@@ -61,3 +61,19 @@ def test_missing_partners(spark):
     row = (h["warc-record-id"], h["warc-record-id"], "response", None, None, None, len(b), None, None)
     one = assemble(spark.createDataFrame([row], RECORDS)).collect()
     assert len(one) == 1 and one[0].metadata is None and one[0].request is None
+
+
+def test_files_are_rolled_by_bytes(spark, tmp_path):
+    rows = [(i, "u", chr(97 + i % 26) * (3 << 20 if i % 10 == 0 else 50)) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    write_archive(df, f"file://{tmp_path}/w", part_bytes=1 << 20)
+    files = [gzip.decompress(f.read_bytes()) for f in (tmp_path / "w").glob("part-*")]
+    assert max(map(len, files)) < 14 << 20
+    assert sum(h["warc-type"] in ("response", "revisit") for f in files for h, _ in parse(f)) == 60
+
+
+def test_revisits_without_their_response(spark):
+    made = "\r\n\r\n".join(records_of(3, None, "x", 7, None)) + "\r\n\r\n"
+    rows = [(h["warc-record-id"], h.get("warc-concurrent-to", h["warc-record-id"]), h["warc-type"], None, None, h.get("warc-refers-to"), None, {"pageId": "3"} if h["warc-type"] == "metadata" else None, None) for h, _ in parse(made.encode())]
+    (one,) = resolve(assemble(spark.createDataFrame(rows, RECORDS))).collect()
+    assert one.revisited is None and one.metadata.page_id == 3 and one.response.refers_to
