@@ -1,10 +1,11 @@
 """Counterfactual-regularised toxicity classifier.
 
 A text is the set of its lower-cased words and their prefixes, hashed; a
-sparse logistic model is trained on labelled texts. In labelled sentences that
-mention an identity term the term is swapped for the others of its group, and
-the squared change of the score is penalised, so neutral mentions of groups do
-not carry weight of their own.
+sparse logistic model is trained on labelled texts. Labelled sentences that
+mention an identity term get counterparts in which the term is swapped for each
+other of its group; a text without one gets two counterparts that mention one
+term and another. The squared change of the score between the two is penalised,
+so neutral mentions of groups do not raise a score.
 """
 
 from __future__ import annotations
@@ -36,7 +37,6 @@ IDENTITY = [
     "musulmanes cristianos judíos budistas ateos",
 ]
 WORD = re.compile(r"[^\W\d_]+")
-SENTENCE = re.compile(r"[.!?\n]+")
 BITS = 20
 KNOWN_CHUNKS = 400_000
 
@@ -65,15 +65,34 @@ class Known(dict):
         return out
 
 
-def swaps(text: str, partner: dict[str, tuple[str, ...]]) -> list[str]:
-    """Identity terms of the text's sentences, one entry a sentence and term."""
-    low = text.lower()
+def counterfactuals(text: str, groups: list[str]) -> list[tuple[set[int], set[int], set[int], set[int]]]:
+    """Pairs of variants of a text, each as features (added, removed, added, removed).
+
+    Of a text that mentions identity terms: as it is, and with one term as another of its group wherever it stands. Of
+    any other text: with one term and with another of a group put in; which, its checksum tells.
+    """
+    words = set(words_in(text))
+    partner = _partners(groups)
+    have = {f for w in words for f in features_of(w)}
     out = []
-    for sentence in SENTENCE.split(low):
-        out += [w for w in set(WORD.findall(sentence)) if w in partner]
+    for a in sorted(words & partner.keys()):
+        others = {f for w in words if w != a for f in features_of(w)}
+        for b in partner[a]:
+            new = others.union(features_of(b))
+            out.append((set(), set(), new - have, have - new))
+    if not out and words and groups:
+        pick = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+        terms = groups[pick % len(groups)].split()
+        first = pick // len(groups) % len(terms)
+        other = (first + 1 + pick // 7919 % max(1, len(terms) - 1)) % len(terms)
+        out.append((set(features_of(terms[first])) - have, set(), set(features_of(terms[other])) - have, set()))
     return out
 
 
+def _packed(features) -> bytes:
+    return np.sort(np.fromiter(features, np.int32, len(features))).astype("<i4").tobytes()
+
+
 def _partners(groups: list[str]) -> dict[str, tuple[str, ...]]:
     out: dict[str, tuple[str, ...]] = {}
     for g in groups:
@@ -85,17 +104,14 @@ def _partners(groups: list[str]) -> dict[str, tuple[str, ...]]:
 
 def _gather(groups: list[str]):
     def run(batches):
-        partner = _partners(groups)
-        any_term = re.compile("|".join(sorted(map(re.escape, partner), key=len, reverse=True)), re.I) if partner else None
         known = Known(lambda c: [f for w in words_in(c) for f in features_of(w)])
         for batch in batches:
-            ids, terms = [], []
+            ids, pairs = [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
-                found = {f for c in set(text.split()) for f in known[c]}
-                ids.append(np.sort(np.fromiter(found, np.int32, len(found))).astype("<i4").tobytes())
-                terms.append(swaps(text, partner) if any_term and any_term.search(text) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(terms, pa.list_(pa.string()))], ["toxic", "ids", "terms"])
+                ids.append(_packed({f for c in set(text.split()) for f in known[c]}))
+                pairs.append([_packed(x) for pair in counterfactuals(text, groups) for x in pair])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(pairs, pa.list_(pa.binary()))], ["toxic", "ids", "pairs"])
 
     return run
 
@@ -121,10 +137,42 @@ class Model:
         return score
 
 
-def train(rows: list[np.ndarray], toxic: np.ndarray, terms: list[list[str]], groups: list[str], l1: float = 4e-4, counterfactual: float = 5.0, steps: int = 400, most_features: int = 20_000) -> Model:
+class Pairs:
+    """Margins of the counterfactual pairs' two sides as sparse sums over a row's margin and some weights, and the penalty's gradient."""
+
+    def __init__(self, row: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        # sides: per side the pair, the weight's place and +1 (added) or -1 (removed) of each entry
+        self.row, self.sides, self.n = row, sides, len(row)
+
+    def scores(self, margin: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+        z = [margin[self.row] + np.bincount(k, s * w[at], minlength=self.n) for k, at, s in self.sides]
+        return [1 / (1 + np.exp(-np.clip(x, -60, 60))) for x in z]
+
+    def gap(self, margin: np.ndarray, w: np.ndarray) -> float:
+        """Mean absolute change of the score."""
+        if not self.n:
+            return 0.0
+        left, right = self.scores(margin, w)
+        return float(np.abs(left - right).mean())
+
+    def gradient(self, margin: np.ndarray, w: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the mean squared change: by the rows' margins and, beyond them, by the weights."""
+        left, right = self.scores(margin, w)
+        pull = [2 * (left - right) * left * (1 - left) / self.n, -2 * (left - right) * right * (1 - right) / self.n]
+        by_weight = sum(np.bincount(at, s * g[k], minlength=len(w)) for g, (k, at, s) in zip(pull, self.sides))
+        return np.bincount(self.row, pull[0] + pull[1], minlength=rows), by_weight
+
+    def curve(self, w: np.ndarray) -> np.ndarray:
+        """A bound on the penalty's curvature times w: a score changes by at most a quarter of its margin."""
+        z = [np.bincount(k, s * w[at], minlength=self.n) for k, at, s in self.sides]
+        change = (z[0] - z[1]) / (8 * self.n)
+        return sum(np.bincount(at, s * sign * change[k], minlength=len(w)) for sign, (k, at, s) in zip((1, -1), self.sides))
+
+
+def train(rows: list[np.ndarray], toxic: np.ndarray, pairs: list[list[tuple]], l1: float = 4e-4, counterfactual: float = 20.0, steps: int = 400, most_features: int = 20_000) -> Model:
     """Sparse logistic regression by accelerated proximal gradient steps.
 
-    rows: sorted distinct features of each text; terms: identity terms of its sentences.
+    rows: sorted distinct features of each text; pairs: each text's counterfactuals.
     """
     n = len(rows)
     if not n or toxic.all() or not toxic.any():
@@ -142,9 +190,7 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, terms: list[list[str]], gro
     z[with_t + without < 3] = 0
     chosen = np.flatnonzero(z > 3)
     chosen = chosen[np.argsort(-z[chosen], kind="stable")[:most_features]]
-    partner = _partners(groups)
-    mentioned = sorted({x for row in terms for x in row})
-    forced = {f for m in mentioned for x in (m, *partner.get(m, ())) for f in features_of(x)}
+    forced = {int(f) for row in pairs for pair in row for side in pair for f in side}
     chosen = np.unique(np.concatenate((chosen, np.array(sorted(forced), np.int64)))).astype(np.int64)
     if not len(chosen):
         return Model(float(np.log(n1 / n0)), {})
@@ -153,31 +199,28 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, terms: list[list[str]], gro
     at = place[flat]
     owner, at = owner[at >= 0], at[at >= 0]
     weight = np.where(t, 0.5 / n1, 0.5 / n0)
-    pairs: dict[tuple[str, str], float] = {}
-    for row in terms:
-        for a in row:
-            for b in partner.get(a, ()):
-                pairs[a, b] = pairs.get((a, b), 0) + 1 / len(partner[a])
-    total = sum(pairs.values())
-    d_row, d_at, d_sign, d_weight = [], [], [], []
-    for k, ((a, b), c) in enumerate(sorted(pairs.items())):
-        d_weight.append(c / total)
-        for word, sign in ((a, -1.0), (b, 1.0)):
-            for f in features_of(word):
-                d_row.append(k)
-                d_at.append(place[f])
-                d_sign.append(sign)
-    d_row, d_at, d_sign, d_weight = np.array(d_row, np.int64), np.array(d_at, np.int64), np.array(d_sign), np.array(d_weight)
-
-    def change(w):
-        return np.bincount(d_row, d_sign * w[d_at], minlength=len(d_weight)) if len(d_weight) else np.zeros(0)
+    flat_pairs = [(i, pair) for i, row in enumerate(pairs) for pair in row] if counterfactual else []
+    sides = []
+    for add, drop in ((0, 1), (2, 3)):
+        entries = [(k, place[f], sign) for k, (_, pair) in enumerate(flat_pairs) for at_, sign in ((add, 1.0), (drop, -1.0)) for f in pair[at_]]
+        sides.append(tuple(np.array([e[j] for e in entries], t) for j, t in enumerate((np.int64, np.int64, float))))
+    swapped = Pairs(np.array([i for i, _ in flat_pairs], np.int64), sides)
 
     def curve(w):
         """The quadratic bound's matrix times w, for the step length."""
         out = 0.25 * np.bincount(at, (weight * np.bincount(owner, w[at], minlength=n))[owner], minlength=len(w))
-        if len(d_weight):
-            out += 2 * counterfactual * np.bincount(d_at, d_sign * (d_weight * change(w))[d_row], minlength=len(w))
-        return out
+        return out + counterfactual * swapped.curve(w) if swapped.n else out
+
+    def slopes(w, b, extra):
+        """Gradient by weights and bias; the penalty's part acts on rows' margins and on swapped weights."""
+        margin = b + np.bincount(owner, w[at], minlength=n)
+        err = weight * (1 / (1 + np.exp(-np.clip(margin, -60, 60))) - t)
+        by_weight = extra * w
+        if swapped.n:
+            by_row, direct = swapped.gradient(margin, w, n)
+            err = err + counterfactual * by_row
+            by_weight = by_weight + counterfactual * direct
+        return by_weight + np.bincount(at, err[owner], minlength=len(w)), err.sum()
 
     v = np.ones(len(chosen))
     for _ in range(20):
@@ -187,14 +230,10 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, terms: list[list[str]], gro
     step = 1 / (1.1 * top + 0.25)
     w, y, b, yb, momentum = np.zeros(len(chosen)), np.zeros(len(chosen)), 0.0, 0.0, 1.0
     for _ in range(steps):
-        s = 1 / (1 + np.exp(-np.clip(yb + np.bincount(owner, y[at], minlength=n), -60, 60)))
-        err = weight * (s - t)
-        grad = np.bincount(at, err[owner], minlength=len(w))
-        if len(d_weight):
-            grad += 2 * counterfactual * np.bincount(d_at, d_sign * (d_weight * change(y))[d_row], minlength=len(w))
+        grad, slope = slopes(y, yb, 0.0)
         new = y - step * grad
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
-        new_b = yb - step * err.sum()
+        new_b = yb - step * slope
         after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         y, yb = new + (momentum - 1) / after * (new - w), new_b + (momentum - 1) / after * (new_b - b)
         w, b, momentum = new, new_b, after
@@ -205,12 +244,8 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, terms: list[list[str]], gro
     kept = w != 0
     first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for k in range(1, steps // 2 + 1):
-        s = 1 / (1 + np.exp(-np.clip(b + np.bincount(owner, w[at], minlength=n), -60, 60)))
-        err = weight * (s - t)
-        grad = np.bincount(at, err[owner], minlength=len(w)) + 1e-4 * w
-        if len(d_weight):
-            grad += 2 * counterfactual * np.bincount(d_at, d_sign * (d_weight * change(w))[d_row], minlength=len(w))
-        grad = np.append(np.where(kept, grad, 0), err.sum())
+        grad, slope = slopes(w, b, 1e-4)
+        grad = np.append(np.where(kept, grad, 0), slope)
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         move = 0.1 * (1 - k / (steps // 2 + 1)) * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-9)
         w, b = np.where(kept, w - move[:-1], 0), b - move[-1]
@@ -230,18 +265,23 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_per_label: int = 4000, groups: list[str] | None = None, **options) -> Model:
-    """Train on at most ``most_per_label`` rows of either label that are not held out, by hashed id."""
+    """Train on at most ``most_per_label`` rows of either label that are not held out, by hashed id.
+
+    Rows without an id or with another label than 0 and 1 are not learned from; null and empty texts are texts without
+    features. A document with several labels, or rows that repeat an id, are so many examples. Extra columns are
+    ignored. No labels, or labels of one kind only: a constant score.
+    """
     groups = IDENTITY if groups is None else groups
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     some = known.where("toxic = 1").orderBy(*order).limit(most_per_label).unionByName(known.where("toxic = 0").orderBy(*order).limit(most_per_label))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("toxic", "text")
-    got = rows.mapInArrow(_gather(groups), "toxic int, ids binary, terms array<string>").toArrow()
+    got = rows.mapInArrow(_gather(groups), "toxic int, ids binary, pairs array<binary>").toArrow()
     features = [np.frombuffer(x.as_py(), "<i4") for x in got["ids"]]
     order = sorted(range(len(features)), key=lambda i: features[i].tobytes())  # the same model whatever the order of rows
     toxic = got["toxic"].to_numpy()
-    terms = got["terms"].to_pylist()
-    return train([features[i] for i in order], toxic[order] if len(order) else toxic, [terms[i] for i in order], groups, **options)
+    pairs = [[tuple(np.frombuffer(x, "<i4") for x in flat[k : k + 4]) for k in range(0, len(flat), 4)] for flat in got["pairs"].to_pylist()]
+    return train([features[i] for i in order], toxic[order] if len(order) else toxic, [pairs[i] for i in order], **options)
 
 
 def _score(model: Model):
@@ -255,7 +295,10 @@ def _score(model: Model):
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: doc_id, held_out, score, predicted. Null and empty texts get the model's base score."""
+    """One row per row: doc_id, held_out, score, predicted. Null and empty texts get the model's base score.
+
+    Texts are read whole; repeated rows are scored each; extra columns are ignored; an empty table gives no rows.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"))
     return rows.mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int")
 
@@ -271,5 +314,5 @@ def _keep(model: Model):
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` (text in column text) that score below a half, all columns as they are."""
+    """The rows of ``docs`` (text in column text) that score below a half, all columns as they are; null and empty texts by the base score, repeated rows each."""
     return docs.mapInArrow(_keep(model), docs.schema)
