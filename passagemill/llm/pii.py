@@ -1,6 +1,8 @@
 """Personal data by rules and a character BiLSTM with CRF transitions.
 
-The rules' spans stay. The network, trained in numpy from labelled spans, reads
+The rules' spans stay. The network, trained in numpy from labelled spans (those
+that the rules find in a sample of the documents, spelt otherwise in their own
+surroundings, and generated ones), reads
 overlapping windows around the places where a span can be at all (every kind
 has a digit or an at-sign); a character's scores are taken from the window in
 which it is most central, the label sequence of each joined region is decoded
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import random
 import re
 from dataclasses import dataclass
@@ -164,6 +167,75 @@ def labelled(n: int, seed: int) -> list[tuple[str, list[tuple[str, int, int]]]]:
     return out
 
 
+def respelled(r: random.Random, kind: str, span: str) -> str:
+    """Another spelling of a span that a rule found, as people write it; the rules miss most of these."""
+    digits = "".join(_DIGIT.findall(span))
+    if kind == "email":
+        user, _, host = span.partition("@")
+        at, dot = r.choice([("[at]", "."), ("(at)", "."), (" (at) ", "."), (" [at] ", "."), (" @ ", "."), ("@ ", "."), ("[at]", "[dot]"), (" (at) ", " (dot) ")])
+        return user + at + host.replace(".", dot)
+    if kind == "card":
+        sep = r.choice([".", ".", " ", "-"])
+        return sep.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    if kind == "phone" and len(digits) >= 10:
+        a, b, c = digits[-10:-7], digits[-7:-4], digits[-4:]
+        return r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{digits[:-10] or '1'} {a} {b}{c}"])
+    return span
+
+
+CONTEXT = 60  # characters of a document on either side of a span that an example holds
+
+
+def _contexts(batches):
+    """(text, spans) of the surroundings of each span of the rules, and of a number or sign that is none."""
+    for batch in batches:
+        out = []
+        for text in batch.column(0):
+            text = text.as_py() or ""
+            spans = sorted((a, b, k) for k, v in base_spans(text).items() for a, b in v)
+            places = [(a, b) for a, b, _ in spans] + [m.span() for m in itertools.islice(re.finditer(r"\S*[0-9@]\S*", text), 20)]
+            for a, b in places[:40]:
+                lo, hi = max(0, a - CONTEXT), min(len(text), b + CONTEXT)
+                lo = min([lo, *(x for x, y, _ in spans if x < lo < y)])
+                hi = max([hi, *(y for x, y, _ in spans if x < hi < y)])
+                out.append((text[lo:hi], [f"{k}:{x - lo}:{y - lo}" for x, y, k in spans if lo <= x and y <= hi]))
+        texts, found = zip(*out) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(found, pa.list_(pa.string()))], ["text", "spans"])
+
+
+def examples_of(docs: DataFrame, most_docs: int = 20_000, most: int = 1500, id_col: str = "doc_id", text_col: str = "text", seed: int = 3, respell: float = 0.7) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Labelled examples from documents: surroundings of the rules' spans, each as it is or with the span spelt otherwise.
+
+    From the ``most_docs`` documents with the smallest hashed ids; of their surroundings at most ``most`` with a span
+    and as many without, by the hash of their text. Numbers that fail a rule, dates and secrets are examples without a span.
+    """
+    some = docs.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(most_docs)
+    rows = docs.join(F.broadcast(some), docs[id_col] == F.col("_id"), "left_semi").select(F.col(text_col).cast("string"))
+    got = rows.mapInArrow(_contexts, "text string, spans array<string>").distinct()
+    order = [F.xxhash64("text"), "text"]
+    held = got.where("size(spans) > 0").orderBy(*order).limit(most).unionByName(got.where("size(spans) = 0").orderBy(*order).limit(most)).collect()
+    out = []
+    for row in sorted(held, key=lambda x: (x.text, x.spans)):
+        r = random.Random(f"{seed} {row.text}")
+        spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in row.spans)]
+        out.append(respelled_text(r, row.text, spans) if spans and r.random() < respell else (row.text, spans))
+    return out
+
+
+def respelled_text(r: random.Random, text: str, spans: list[tuple[str, int, int]]) -> tuple[str, list[tuple[str, int, int]]]:
+    """The text with its spans spelt otherwise; overlapping spans are left as they are."""
+    parts, out, at, size = [], [], 0, 0
+    for kind, a, b in sorted(spans, key=lambda s: s[1]):
+        if a < at:
+            return text, spans
+        new = respelled(r, kind, text[a:b])
+        parts += [text[at:a], new]
+        size += a - at
+        out.append((kind, size, size + len(new)))
+        size, at = size + len(new), b
+    return "".join([*parts, text[at:]]), out
+
+
 def tags_of(n: int, spans: list[tuple[str, int, int]]) -> np.ndarray:
     """0 outside, 2k+1 first and 2k+2 further characters of kind k."""
     out = np.zeros(n, np.int64)
@@ -355,6 +427,14 @@ def standard(n: int = 1500, seed: int = 11) -> Tagger:
     return train(labelled(n, seed))
 
 
+def fit(docs: DataFrame, generated: int = 1500, seed: int = 11, **options) -> Tagger:
+    """The tagger trained on a bounded sample of the documents' own spans, respelt, and on generated texts.
+
+    Without documents, ids or spans in them only the generated texts are learned from.
+    """
+    return train(labelled(generated, seed) + examples_of(docs, **options))
+
+
 # ------------------------------------------------------------------ detection
 
 
@@ -462,9 +542,11 @@ class Detector:
                 while e > s and (texts[i][e - 1].isspace() or texts[i][e - 1] in ".,;"):
                     e -= 1
                 taken = any(s < y and x < e for v in out[i].values() for x, y in v)
-                if s < e and not taken and _fits(kind, texts[i], s, e):
-                    out[i][kind].append((s, e))
-                    out[i][kind].sort()
+                if s < e and not taken:
+                    fit = next((k for k in (kind, "card", "ip") if _fits(k, texts[i], s, e)), None)  # digits with dots may be marked as another kind
+                    if fit:
+                        out[i][fit].append((s, e))
+                        out[i][fit].sort()
 
 
 def spans_of(tags: np.ndarray) -> list[tuple[str, int, int]]:
@@ -519,7 +601,9 @@ def _detect(model: Tagger):
 def detect(docs: DataFrame, model: Tagger | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, counts and digest of the rules' spans, all spans.
 
-    Null texts are empty and have no spans. Positions are code points, ends exclusive.
+    Null texts are empty and have no spans; texts are read whole, however long. Positions are code points, ends
+    exclusive. Repeated rows are read each; extra columns are ignored; an empty table gives no rows. Without a model
+    the one of the generated texts is used.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_detect(model or standard()), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
@@ -551,5 +635,5 @@ def _redact(model: Tagger):
 
 
 def redact_docs(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
-    """The rows of ``docs`` with the spans in column text replaced; null texts stay null."""
+    """The rows of ``docs`` with the spans in column text replaced; null texts stay null, other columns and repeated rows as they are."""
     return docs.mapInArrow(_redact(model or standard()), docs.schema)

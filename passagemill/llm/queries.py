@@ -85,7 +85,8 @@ def op9_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
-    return pii.detect(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.fit(docs))
 
 
 QUERIES = {

@@ -1,10 +1,13 @@
 import hashlib
+import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from passagemill.llm.pii import KINDS, Detector, Tagger, base_spans, detect, labelled, luhn, redact, redact_docs, regions, standard, tags_of, train, written_out
+from passagemill.llm.pii import KINDS, Detector, Tagger, base_spans, detect, examples_of, fit, labelled, luhn, redact, redact_docs, regions, respelled_text, standard, tags_of, train, written_out
 from passagemill.llm.queries import table
 
 SF = "/root/testdata/sf0.001"
@@ -58,6 +61,30 @@ def test_gradients():
             assert abs((up - down) / 2e-5 - grad[k]) < 1e-4 * max(1, abs(grad[k])), name
 
 
+def test_respelt_spans_of_held_out_documents(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    apart = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = fit(docs.where(~apart))
+    r = random.Random(9)
+    found = Counter()
+    cases = [respelled_text(r, *x) if x[1] else x for x in examples_of(docs.where(apart), respell=0.0)]
+    cases += [respelled_text(r, f"thandin {a}{x} {b} ere", [(k, 8 + len(a), 8 + len(a) + len(x))]) for k, x in (("email", "jo.ha24@mail7.example.com"), ("card", "4111111111111111"), ("phone", "+1 (203) 555-8282")) for a in ("", "the ", "erst. ") for b in ("and", "in the", "onat, er") for _ in range(3)]
+    for (text, spans), got in zip(cases, Detector(model).found([t for t, _ in cases])):
+        rules = base_spans(text)
+        for kind, a, b in spans:
+            if (a, b) not in rules[kind]:
+                found[(kind, (a, b) in got[kind])] += 1
+        found["extra"] += sum((k, a, b) not in spans and (a, b) not in rules[k] for k in KINDS for a, b in got[k])
+    for kind in ("email", "card", "phone"):
+        assert found[(kind, True)] >= 0.9 * (found[(kind, True)] + found[(kind, False)]) > 0, found
+    assert found["extra"] <= 0.05 * len(cases), found
+    assert fit(docs.where("false"), generated=20).p.keys() == model.p.keys()
+
+
+def test_dotted_card(model):
+    assert Detector(model).found(["card 4111.1111.1111.1111 ok"])[0]["card"] == [(5, 24)]
+
+
 def test_held_out_spans(model):
     examples = labelled(300, 77)
     found = Detector(model).found([t for t, _ in examples])
