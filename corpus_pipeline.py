@@ -27,7 +27,11 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the counterfactual classifier does not call toxic."""
+    """Documents that the counterfactual classifier does not call toxic.
+
+    Null and empty texts score alike, by the model's base; texts are read whole; repeated rows are judged each; extra
+    columns stay; an empty table stays empty. Without labels of both kinds all documents score alike.
+    """
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -44,17 +48,29 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, reworded ones included."""
+    """Documents that hold no benchmark item, reworded ones included.
+
+    Null and empty texts and rows without an id stay; all rows of a repeated id go where one holds an item; extra
+    columns stay; texts are read whole; an empty table, or an empty benchmark, drops nothing.
+    """
     return _without(docs, decontaminate.find(docs, table(spark, sf_dir, "benchmark")))
 
 
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind; n_chars follows the new text."""
-    return pii.redact_docs(docs).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    """Personal data replaced by its kind; n_chars follows the new text.
+
+    Null texts stay null with their n_chars, empty ones empty; repeated rows are read each; extra columns stay; texts
+    are read whole; an empty table stays empty.
+    """
+    return pii.redact_docs(docs, pii.fit(docs)).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in windows of 1024 tokens."""
+    """Pieces of the documents in windows of 1024 tokens.
+
+    Null and empty texts are the end token alone; repeated rows are packed each; a very long text is cut into many
+    pieces; extra columns are ignored; an empty table gives no pieces.
+    """
     return pack(docs, byte_bpe, size=1024, end_id=0)
 
 
