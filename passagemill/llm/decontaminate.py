@@ -11,12 +11,13 @@ consistently, and a reworded line must hold enough words that are none.
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,10 +49,11 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") or 1
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) or 1
 
 
 NAME = _hash("<name>")
+_KINDS = {k: _hash(k) for k in ("<number>", "<name>", *(f"<{x}:{d}>" for d in UNITS for x in ("number", "unit")))}
 
 
 class Canon(dict):
@@ -69,21 +71,29 @@ class Canon(dict):
         return out
 
     def of(self, chunk: str) -> tuple[int, int, bool]:
-        core = _EDGE.sub("", chunk)
+        core = chunk if chunk.isalnum() else _EDGE.sub("", chunk)
         low = core.lower()
-        plain = _hash(low) if low else 0
-        kind = None
-        if low:
+        if not low:
+            return 0, 0, False
+        plain, kind = _hash(low), None
+        if not low.isalpha():  # only such words can be numbers
             glued = _GLUED.fullmatch(low)
             if _NUMBER.fullmatch(low):
                 kind = "<number>"
             elif glued and glued[2] in _UNIT:
                 kind = f"<number:{_UNIT[glued[2]]}>"
-            elif low in _UNIT and len(low) > 2:
+        if kind is None:
+            if low in _UNIT and len(low) > 2:
                 kind = f"<unit:{_UNIT[low]}>"
             elif core[0].isupper() and low not in self.small:
                 kind = "<name>"
-        return _hash(kind) if kind else plain, plain, kind is not None
+        return _KINDS[kind] if kind else plain, plain, kind is not None
+
+
+@functools.lru_cache(maxsize=2)
+def canon_of(small: frozenset[str]) -> Canon:
+    """The table of known chunks that a worker's tasks share."""
+    return Canon(small)
 
 
 class Index(dict):
@@ -164,36 +174,23 @@ def _values(plain: np.ndarray, units: np.ndarray) -> np.ndarray:
 COLUMNS = "id long, hash long, pos long, unit long, template boolean, slots array<long>, literals array<long>"
 
 
-def _emit(small: frozenset[str], lengths: tuple[list[int], list[int]], wanted: np.ndarray | None, own: bool = False):
-    """Rows of windows; only those in the sorted ``wanted`` hashes if given.
-
-    own: of the largest length that a text has, without template windows that hold nothing but placeholders, and with their other units.
-    """
+def _own(small: frozenset[str], lengths: tuple[list[int], list[int]]):
+    """Rows of an item's windows: of the largest length that it has, without template windows that hold nothing but placeholders, and with their other units."""
 
     def run(batches):
-        canon = Canon(small)
+        canon = canon_of(small)
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 h, word, at, kind, size, plain, units, slot = text_windows(text.as_py() or "", canon, lengths)
-                if wanted is not None:
-                    if not len(wanted) or not len(h):
-                        continue
-                    k = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                    use = np.flatnonzero(wanted[k] == h)
-                elif own:
-                    filled = np.append(0, np.cumsum(slot))
-                    literal = size - np.where(kind, filled[np.minimum(at + size, len(slot))] - filled[at], 0)
-                    use = np.flatnonzero(np.where(kind, (size == min(len(units), LENGTH)) & (literal >= np.where(size < LENGTH, np.minimum(size - 1, LITERALS), 1)), size == min(len(plain), LENGTH)))
-                else:
-                    use = np.arange(len(h))
-                if not len(use):
-                    continue
-                values = _values(plain, units).view(np.int64)
+                filled = np.append(0, np.cumsum(slot))
+                literal = size - np.where(kind, filled[np.minimum(at + size, len(slot))] - filled[at], 0)
+                use = np.flatnonzero(np.where(kind, (size == min(len(units), LENGTH)) & (literal >= np.where(size < LENGTH, np.minimum(size - 1, LITERALS), 1)), size == min(len(plain), LENGTH)))
+                values = _values(plain, units).view(np.int64) if len(use) else None
                 for i in use.tolist():
                     a, w = int(at[i]), int(size[i])
                     filler = slot[a : a + w]
-                    rows.append((doc, int(h[i : i + 1].view(np.int64)[0]), int(word[i]), a, bool(kind[i]), values[a : a + w][filler].tolist() if kind[i] else [], (a + np.flatnonzero(~filler)).tolist() if own and kind[i] else []))
+                    rows.append((doc, int(h[i : i + 1].view(np.int64)[0]), int(word[i]), a, bool(kind[i]), values[a : a + w][filler].tolist() if kind[i] else [], (a + np.flatnonzero(~filler)).tolist() if kind[i] else []))
                     if len(rows) >= 50_000:
                         yield _rows(rows)
                         rows = []
@@ -203,6 +200,117 @@ def _emit(small: frozenset[str], lengths: tuple[list[int], list[int]], wanted: n
     return run
 
 
+def _marked(size: int):
+    """One table per task of the hashes' places modulo size (a power of two)."""
+
+    def run(batches):
+        table = np.zeros(size, bool)
+        for batch in batches:
+            table[(batch.column(0).to_numpy(zero_copy_only=False).view(U) & U(size - 1)).astype(np.int64)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()], pa.binary())], ["places"])
+
+    return run
+
+
+class Sought:
+    """The benchmark's window hashes: places modulo a power of two, and all of them in order unless they are too many."""
+
+    def __init__(self, places: np.ndarray, hashes: np.ndarray | None):
+        self.places, self.hashes = np.packbits(places), hashes
+        self._table: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, distinct: DataFrame, count: int, most: int) -> Sought:
+        few = count <= most
+        size = 1 << (min(max(16, int(8 * count).bit_length()), 24 if few else 26))
+        if few:
+            hashes = np.sort(distinct.toArrow()["hash"].to_numpy().view(U)) if count else np.zeros(0, U)
+            table = np.zeros(size, bool)
+            table[(hashes & U(size - 1)).astype(np.int64)] = True
+            return cls(table, hashes)
+        packed = np.zeros(size // 8, np.uint8)
+        for row in distinct.mapInArrow(_marked(size), "places binary").toLocalIterator():
+            packed |= np.frombuffer(row.places, np.uint8)
+        return cls(np.unpackbits(packed).astype(bool), None)
+
+    def at(self, h: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """Positions of windows that may be the benchmark's; of few hashes, those that are."""
+        if self._table is None:
+            self._table = np.unpackbits(self.places).astype(bool)
+        maybe = np.flatnonzero(self._table[(h & U(len(self._table) - 1)).astype(np.int64)] & inside)
+        if self.hashes is None or not len(maybe):
+            return maybe
+        k = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
+        return maybe[self.hashes[k] == h[maybe]]
+
+
+PIECE = 1 << 20  # characters of texts that are looked up together, unless one text is longer
+
+
+def _pieces(batches):
+    for batch in batches:
+        ids, texts, held = [], [], 0
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            text = text.as_py()
+            if text:
+                ids.append(doc)
+                texts.append(text)
+                held += len(text)
+                if held >= PIECE:
+                    yield ids, texts
+                    ids, texts, held = [], [], 0
+        if ids:
+            yield ids, texts
+
+
+def _met(small: frozenset[str], lengths: tuple[list[int], list[int]], sought: Sought):
+    """Rows of the documents' windows that are the benchmark's (or may be, beyond the bound); texts are looked up piece by piece."""
+
+    def run(batches):
+        canon = canon_of(small)
+        index = canon.index
+        for ids, texts in _pieces(batches):
+            chunks: list[str] = []
+            ends = []
+            for text in texts:
+                chunks += text.split()
+                ends.append(len(chunks))
+            rows = index.rows(chunks)
+            plain = index.plain[rows]
+            word = plain != 0
+            owner = np.repeat(np.arange(len(texts)), np.diff([0, *ends]))[word]
+            rows, plain = rows[word], plain[word]
+            template = index.template[rows]
+            first = np.ones(len(rows), bool)
+            first[1:] = ~((template[1:] == NAME) & (template[:-1] == NAME) & (owner[1:] == owner[:-1]))
+            units, unit = np.flatnonzero(first), np.cumsum(first) - 1
+            begin = np.searchsorted(owner, np.arange(len(texts) + 1))
+            begin_unit = np.searchsorted(owner[units], np.arange(len(texts) + 1))
+            values = slot = None
+            found: list[tuple] = []
+            for form, (sequence, off) in enumerate(((plain, begin), (template[units], begin_unit))):
+                for w in lengths[form]:
+                    h, inside = windows(sequence, off, w)
+                    with np.errstate(over="ignore"):
+                        h = mix(h + U(1 if form else 2))
+                    hit = sought.at(h, inside)
+                    if not len(hit):
+                        continue
+                    if form and values is None:
+                        values, slot = _values(plain, units).view(np.int64), index.slot[rows[units]]
+                    at_word, at_unit = (units[hit], hit) if form else (hit, unit[hit])
+                    who = owner[at_word]
+                    for i, k, p, u, x in zip(who.tolist(), hit.tolist(), (at_word - begin[who]).tolist(), (at_unit - begin_unit[who]).tolist(), h[hit].view(np.int64).tolist()):
+                        found.append((ids[i], x, p, u, bool(form), values[k : k + w][slot[k : k + w]].tolist() if form else [], []))
+                        if len(found) >= 50_000:
+                            yield _rows(found)
+                            found = []
+            if found:
+                yield _rows(found)
+
+    return run
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["id", "hash", "pos", "unit", "template", "slots", "literals"])
@@ -222,7 +330,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     empty texts have no windows. Rows that repeat a document or item id count
     as one. The benchmark's vocabulary is held by the driver, so its size is
     that of the benchmark, not of the corpus; beyond ``most_broadcast`` windows
-    every document window goes into a shuffled join instead.
+    tasks know only their hashes' places in a table of fixed size, and the
+    document windows that pass it go into a shuffled join.
     """
     spark: SparkSession = docs.sparkSession
     ws = Workspace(spark, "decontaminate")
@@ -232,15 +341,16 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     short = sizes.select(F.explode(F.array_union(F.array("n"), "units")).alias("n")).where(f"n >= {SHORT} and n < {LENGTH}").distinct().collect()
     every = sorted({*(r.n for r in short), LENGTH})
     lengths = (every, every)
-    known = ws.write(items.mapInArrow(_emit(small, lengths, None, own=True), COLUMNS), "items")
+    known = ws.write(items.mapInArrow(_own(small, lengths), COLUMNS), "items")
     length = F.when(F.col("n") < LENGTH, F.col("n")).otherwise(LENGTH)
     templates = known.where("template").groupBy("id").agg(F.countDistinct("unit").alias("n_templates"))
     sized = sizes.select("id", (F.col("n") - length + 1).alias("n_plain"), F.col("most").alias("units")).join(templates, "id", "left")
-    distinct = known.select("hash").distinct()
-    few = distinct.count() <= most_broadcast
-    wanted = np.sort(np.array([r.hash for r in distinct.collect()], np.int64).view(U)) if few else None
+    distinct = ws.write(known.select("hash").distinct(), "hashes")
+    count = distinct.count()
+    few = count <= most_broadcast
+    sought = Sought.of(distinct, count, most_broadcast)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    hits = rows.mapInArrow(_emit(small, lengths, wanted), COLUMNS).drop("literals")
+    hits = rows.mapInArrow(_met(small, lengths, sought), COLUMNS).drop("literals")
     side = known.select(F.col("id").alias("item_id"), "hash", F.col("pos").alias("item_pos"), F.col("unit").alias("item_unit"), F.col("slots").alias("item_slots"), "literals")
     met = hits.join(F.broadcast(side) if few else side, "hash")
     # A plain window is in a line of words and in one of units, where it fills what a reworded copy keeps as it is.
@@ -268,7 +378,7 @@ def _repeated(small: frozenset[str]):
     """(item, value) of placeholders' values that an item has twice or more; only these can be inconsistent."""
 
     def run(batches):
-        canon = Canon(small)
+        canon = canon_of(small)
         for batch in batches:
             rows = []
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -285,7 +395,7 @@ def _counted(small: frozenset[str]):
     """(id, words, units) of texts."""
 
     def run(batches):
-        canon = Canon(small)
+        canon = canon_of(small)
         for batch in batches:
             found = [text_windows(t or "", canon, ([], []))[5:7] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([len(x[k]) for x in found], pa.int64()) for k in (0, 1))], ["id", "n", "units"])
