@@ -95,7 +95,10 @@ def find_all_offsets(c: Column, phrases: list[str]) -> Column:
 
 def min_pair_distance(a: Column, b: Column, ordered: bool = False) -> Column:
     """Least distance between a start in a and one in b; ``ordered``: a not after b. Null if none."""
-    gaps = F.flatten(F.transform(a, lambda x: F.transform(F.filter(b, lambda y: y >= x) if ordered else b, lambda y: F.abs(y - x))))
+    mark = lambda c, k: F.transform(c, lambda x: F.struct(x.alias("at"), F.lit(k).alias("of")))
+    both = F.array_sort(F.concat(mark(a, 0), mark(b, 1)))  # the nearest of the other kind stands beside
+    turn = lambda x, y: (x["of"] == 0) & (y["of"] == 1) if ordered else x["of"] != y["of"]
+    gaps = F.transform(F.arrays_zip(F.slice(both, 1, F.greatest(F.size(both) - 1, F.lit(0))).alias("x"), F.slice(both, 2, F.greatest(F.size(both) - 1, F.lit(0))).alias("y")), lambda z: F.when(turn(z["x"], z["y"]), z["y"]["at"] - z["x"]["at"]))
     return F.array_min(gaps)
 
 

@@ -151,3 +151,46 @@ def works(df: DataFrame, where: Column | None = None, limit: int = 20) -> DataFr
     """Works with their metadata and passage counts, in catalog order."""
     rows = df if where is None else df.where(where)
     return rows.groupBy("source_corpus", "canon", "source_work_id").agg(F.min("main_title").alias("main_title"), F.count("*").alias("passage_count"), F.min("doc_id").alias("first_doc_id")).orderBy("source_corpus", "canon", "source_work_id").limit(limit)
+
+
+def in_ranges(df: DataFrame, ranges: DataFrame, most: int = 100_000) -> DataFrame:
+    """Passages with each node (node_id, first_doc_id, last_doc_id) whose range holds their id.
+
+    The ranges are broadcast, so their number is checked; for many nodes join with ``ancestor_rows`` instead.
+    """
+    few = ranges.select("node_id", "first_doc_id", "last_doc_id")
+    if few.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} ranges; join ancestor_rows by node_id")
+    return df.join(F.broadcast(few), F.col("doc_id").between(F.col("first_doc_id"), F.col("last_doc_id")))
+
+
+def source_read(df: DataFrame, work: str, start: int, max_chars: int = 4000, overlap: int = 400, tail: int = 200, head: int = 200) -> dict:
+    """A page of a work: its text up to a sentence end, what stands before and after it, and cursors to both neighbours."""
+    size = min(12_000, max(500, max_chars))
+    overlap = min(size // 2, max(0, overlap))
+    start = max(0, start)
+    low, high = max(0, start - tail), start + size + head
+    rows = running_offsets(df.where(F.col("source_work_id") == work), "source_work_id", ["doc_id"], "zh_text_raw")
+    total = rows.agg(F.max("char_end")).first()[0] or 0
+    parts = rows.where((F.col("char_end") > low) & (F.col("char_start") < high)).select("passage_id", "char_start", "zh_text_raw").orderBy("char_start").collect()
+    text = "".join(f"{r.zh_text_raw}\n" for r in parts)
+    first = parts[0].char_start if parts else 0
+    cut = lambda a, b: text[max(0, a - first) : max(0, b - first)]
+    page = cut(start, min(start + size, total))
+    page = snap(page) if start + size < total else page
+    end = start + len(page)
+    segments = [("tail", low, start), ("page", start, end), ("head", end, min(end + head, total))]
+    out = [{"kind": k, "start": a, "end": b, "text": cut(a, b), "citeable": k == "page"} for k, a, b in segments if b > a]
+    more = end < total
+    return {
+        "segments": out,
+        "passages": [r.passage_id for r in parts if r.char_start < end and r.char_start + len(r.zh_text_raw) > start],
+        "position": {"char_start": start, "char_end": end, "total_chars": total, "percent": round(100 * end / total, 2) if total else 100.0},
+        "cursor": {"current": cursor(work, start, size), "next": cursor(work, max(start + 1, end - overlap), size) if more else None, "prev": cursor(work, max(0, start - size + overlap), size) if start else None},
+    }
+
+
+def fingerprint(df: DataFrame, *columns: str) -> DataFrame:
+    """One row that tells a table's content whatever its order: rows, and the sums of two hashes of each row."""
+    part = lambda seed: F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)"))
+    return df.agg(F.count("*").alias("n"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), part(1).cast("string"), part(2).cast("string")), 256).alias("fingerprint"))

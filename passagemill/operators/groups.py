@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import find_offsets, min_pair_distance
+from ..functions.text import find_offsets, min_pair_distance, same_sentence
 from ..plans.scope import Scope
 from .search import hits
 
@@ -82,15 +82,22 @@ def outline_search(df: DataFrame, phrase: str, group_by: str = "division", scope
 
 
 def unit_key(unit: str) -> Column:
-    """What two terms must share: the passage, its section, or its work."""
-    return {"passage": F.col("passage_id"), "section": F.concat_ws("/", "source_work_id", "div_path"), "work": F.col("source_work_id")}[unit]
+    """What two terms must share: the passage (sentences and windows lie within one), its section, or its work."""
+    if unit not in ("passage", "sentence", "window", "section", "work"):
+        raise ValueError(f"no unit {unit}")
+    return {"sentence": F.col("passage_id"), "window": F.col("passage_id"), "passage": F.col("passage_id"), "section": F.concat_ws("/", "source_work_id", "div_path"), "work": F.col("source_work_id")}[unit]
 
 
 def pair_rows(df: DataFrame, a: str, b: str, unit: str = "passage", window: int = 80, ordered: bool = False, scope: Scope = Scope()) -> DataFrame:
-    """Passages with both terms, their start positions and least distance; unit window bounds the distance."""
-    both = hits(df.where(scope.column()), a).where(F.contains("zh_text_normalized", F.lit(b)))
+    """Passages with both terms, their start positions and least distance.
+
+    Unit window bounds the distance; unit sentence asks for a sentence of the raw text that has both.
+    """
+    both = hits(df, a, scope).where(F.contains("zh_text_normalized", F.lit(b)))
     both = both.withColumn("a_offsets", find_offsets(F.col("zh_text_normalized"), a)).withColumn("b_offsets", find_offsets(F.col("zh_text_normalized"), b))
     both = both.withColumn("distance_chars", min_pair_distance(F.col("a_offsets"), F.col("b_offsets"), ordered)).where("distance_chars is not null")
+    if unit == "sentence":
+        return both.where(same_sentence(F.col("zh_text_raw"), a, b))
     return both.where(F.col("distance_chars") <= window) if unit == "window" else both
 
 
@@ -102,12 +109,18 @@ def pair_negative(df: DataFrame, a: str, b: str, samples: int = 10, scope: Scope
     return rows.groupBy("side").agg(F.count("*").alias("n")).join(top_per_group(rows, ["side"], [F.col("doc_id")], samples, name="samples"), "side")
 
 
-def pair_profile(df: DataFrame, a: str, b: str, group_by: str = "period", unit: str = "passage", most: int = 20, scope: Scope = Scope()) -> DataFrame:
-    """Per group: units with each term and with both, and the rates; one grouped pass over units."""
+def pair_profile(df: DataFrame, a: str, b: str, group_by: str = "period", unit: str = "passage", most: int = 20, scope: Scope = Scope(), window: int = 80) -> DataFrame:
+    """Per group: units with each term and with both, and the rates; one grouped pass over units.
+
+    In units window and sentence a passage counts for both terms only if they are near, or in one sentence of the raw text.
+    """
     has_a, has_b = F.contains("zh_text_normalized", F.lit(a)), F.contains("zh_text_normalized", F.lit(b))
-    rows = df.where(scope.column() & (has_a | has_b)).select(F.col(group_by).alias("group_label"), unit_key(unit).alias("unit"), has_a.alias("a"), has_b.alias("b"))
-    units = rows.groupBy("group_label", "unit").agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b"))
-    out = units.groupBy("group_label").agg(F.count_if("a").alias("term1_count"), F.count_if("b").alias("term2_count"), F.count_if(F.col("a") & F.col("b")).alias("pair_count"))
+    norm = F.col("zh_text_normalized")
+    distance = min_pair_distance(find_offsets(norm, a), find_offsets(norm, b))
+    near = {"window": F.coalesce(distance <= window, F.lit(False)), "sentence": same_sentence(F.col("zh_text_raw"), a, b)}.get(unit, F.lit(True))
+    rows = df.where(scope.column() & (has_a | has_b)).select(F.col(group_by).alias("group_label"), unit_key(unit).alias("unit"), has_a.alias("a"), has_b.alias("b"), near.alias("near"))
+    units = rows.groupBy("group_label", "unit").agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b"), F.bool_and("near").alias("near"))
+    out = units.groupBy("group_label").agg(F.count_if("a").alias("term1_count"), F.count_if("b").alias("term2_count"), F.count_if(F.col("a") & F.col("b") & F.col("near")).alias("pair_count"))
     rate = lambda c: F.round(F.when(F.col(c) > 0, F.col("pair_count") / F.col(c)).otherwise(0.0), 6)
     return out.withColumn("pair_rate_term1", rate("term1_count")).withColumn("pair_rate_term2", rate("term2_count")).orderBy(F.desc("pair_count"), "group_label").limit(most)
 
@@ -121,5 +134,17 @@ def log_summary(events: DataFrame, tool: str = "tool", ok: str = "ok", elapsed:
     base = events.groupBy(tool).agg(F.count("*").alias("calls"), F.count_if(ok).alias("ok"), F.count_if(~F.col(ok)).alias("failed"), F.round(F.avg(elapsed), 6).alias("avg_ms"))
     counts = events.groupBy(tool, F.col(elapsed).alias("_v")).agg(F.count("*").alias("_n"))
     below = F.sum("_n").over(Window.partitionBy(tool).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = events.where(~F.col(ok)).groupBy(tool).agg(F.max(F.struct("timestamp_utc", "error"))["error"].alias("last_error")) if {"timestamp_utc", "error"} <= set(events.columns) else None
+    base = base if last is None else base.join(last, tool, "left")
     at = counts.withColumn("_to", below).join(base.select(tool, F.ceil((F.col("calls") - 1) * 0.95).alias("_k")), tool).where(F.col("_to") > F.col("_k"))
     return base.join(at.groupBy(tool).agg(F.min("_v").alias("p95_ms")), tool)
+
+
+def recent(events: DataFrame, n: int = 20, at: str = "timestamp_utc", tie: str = "tool") -> DataFrame:
+    """The last n log rows, newest first."""
+    return events.orderBy(F.desc(at), F.desc(tie)).limit(max(1, n))
+
+
+def hybrid_groups(merged: DataFrame, ident: str = "doc_id") -> DataFrame:
+    """Per label of a limited hit list: its ids in order."""
+    return merged.groupBy(F.explode("labels").alias("label")).agg(F.array_sort(F.collect_list(ident)).alias("ids"))

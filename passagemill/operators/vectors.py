@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hybrid_score
@@ -83,3 +83,24 @@ def splade(logits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Sparse weights: per (id, term) the largest log(1 + relu(logit)) over tokens, zeros left out."""
     w = F.max(F.log1p(F.greatest(F.col("logit").cast("double"), F.lit(0.0))))
     return logits.groupBy(id_col, "term").agg(F.round(w, 6).alias("weight")).where("weight > 0")
+
+
+def read_jsonl(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
+    """(doc_id, embedding) of JSON lines; ValueError for unknown or repeated ids, empty or zero vectors and mixed dimensions."""
+    rows = spark.read.schema("doc_id long, embedding array<float>").option("mode", "FAILFAST").json(path)
+    wrong = {r.problem: r.n for r in check_vectors(rows, known).collect()}
+    if wrong:
+        raise ValueError(f"embeddings: {wrong}")
+    return rows
+
+
+def write_jsonl(df: DataFrame, path: str, text: str = "zh_text_normalized") -> None:
+    """The embedder's input: (doc_id, passage_id, text) as JSON lines."""
+    df.select("doc_id", "passage_id", F.col(text).alias("text")).write.json(path)
+
+
+def store(vectors: DataFrame, path: str, id_col: str = "vec_id") -> DataFrame:
+    """Write the vectors at unit length and return them as stored."""
+    rows = vectors.select(id_col, unit(F.col("embedding")).alias("embedding")).where("embedding is not null")
+    rows.write.parquet(path)
+    return vectors.sparkSession.read.schema(rows.schema).parquet(path)

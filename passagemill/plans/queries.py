@@ -463,7 +463,13 @@ def vector_info(spark, sf):
 # ------------------------------------------------------------------ pages
 
 
-@query()
+_ENTITIES = "replace(replace(replace(replace(replace(replace(replace({x}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&')"
+
+
+@query(rf"""WITH h AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages), b AS (SELECT *, trim(regexp_replace({_ENTITIES.format(x="regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '\s+', ' ', 'g')) AS title, coalesce(nullif(regexp_extract(h, '(?is)<body[^>]*>(.*)</body>', 1), ''), h) AS body FROM h),
+c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?is)<div\s+id\s*=\s*["'']?toolbar["'']?[^>]*>.*?</div>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS x FROM b),
+t AS (SELECT page_id, url, title, trim(regexp_replace({_ENTITIES.format(x="regexp_replace(x, '(?s)<[^>]+>', ' ', 'g')")}, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, substr(sha256(coalesce(url, 'page:' || page_id)), 1, 16) AS passage_id, title, text FROM t WHERE length(text) >= 40 AND NOT regexp_matches(title, '^(404 |403 )|nem található|Tilos|^(?i:page not found)$')""", False)
 def html_passages(spark, sf):
     """Pages as passages."""
     return html_pages.passages_of(table(spark, sf, "pages"))
@@ -567,3 +573,169 @@ def small_expressions(spark, sf):
     """Substring test, path parts, locator, collapsed white space."""
     p = passages(spark, sf)
     return p.select("passage_id", F.contains("zh_text_raw", F.lit("the ")).alias("has"), "div_path", F.split("div_path", " / ").alias("parts"), T.locator(F.col("from_lb"), F.col("to_lb")).alias("locator"), T.collapse_whitespace(F.col("heading")).alias("heading"))
+
+
+# ------------------------------------------------ smaller operators, each with its SQL
+
+
+@query(" SELECT passage_id, source_work_id, author || ', ' || main_title || CASE WHEN canon <> '' THEN ', [' || canon || ']' ELSE '' END || CASE WHEN from_lb IS NOT NULL THEN ' (' || from_lb || '-' || to_lb || ')' ELSE '' END AS citation FROM p WHERE passage_id = '7'")
+def passage_lookup(spark, sf):
+    """One passage with its citation (F8)."""
+    return search.passage(passages(spark, sf), "7").select("passage_id", "source_work_id", "citation")
+
+
+@query(f" SELECT passage_id FROM p WHERE contains({NORM}, 'ing') AND source_corpus = 'documents' AND canon = 'en' AND source_work_id = 'src3' AND (div_path = 'D1' OR starts_with(div_path, 'D1 / '))")
+def search_in_node(spark, sf):
+    """Hits below an outline node."""
+    return search.hits(passages(spark, sf), "ing", Scope(node_id="documents|en|src3|D1")).select("passage_id")
+
+
+@query(f", n AS (SELECT source_corpus || '|' || canon || '|' || source_work_id AS node_id, min(doc_id) AS lo, max(doc_id) AS hi FROM p GROUP BY 1) SELECT node_id, count(*) AS hits FROM p JOIN n ON doc_id BETWEEN lo AND hi WHERE contains({NORM}, 'PHRASE') GROUP BY 1")
+def hits_in_ranges(spark, sf):
+    """Hits within each work's range of ids."""
+    p = passages(spark, sf)
+    nodes = context.outline(p).where("node_kind = 'work'")
+    return context.in_ranges(search.hits(p, PHRASE), nodes).groupBy("node_id").agg(F.count("*").alias("hits"))
+
+
+@query(f" SELECT passage_id FROM p WHERE contains({NORM}, 'tion') AND contains({NORM}, 'OTHER') AND len(list_filter(regexp_split_to_array(zh_text_raw, '[。！？；\\n.!?;]'), lambda s: contains(s, 'tion') AND contains(s, 'OTHER'))) > 0")
+def pair_in_sentence(spark, sf):
+    """Passages with both terms in one sentence of the raw text."""
+    return groups.pair_rows(passages(spark, sf), "tion", OTHER, "sentence").select("passage_id")
+
+
+_AT = "list_filter(range(1, length({t}) + 1), lambda i: substr({t}, i, {n}) = '{p}')"
+
+
+@query(f", o AS (SELECT period, {_AT.format(t=NORM, n=7, p=PHRASE)} AS a, {_AT.format(t=NORM, n=5, p=OTHER)} AS b FROM p WHERE contains({NORM}, 'PHRASE') OR contains({NORM}, 'OTHER')), u AS (SELECT period, len(a) > 0 AS a1, len(b) > 0 AS b1, coalesce(list_min(flatten(list_transform(a, lambda x: list_transform(b, lambda y: abs(x - y))))) <= 80, false) AS near FROM o), c AS (SELECT period AS group_label, count(*) FILTER (WHERE a1) AS term1_count, count(*) FILTER (WHERE b1) AS term2_count, count(*) FILTER (WHERE a1 AND b1 AND near) AS pair_count FROM u GROUP BY 1) SELECT *, round(CASE WHEN term1_count > 0 THEN pair_count / term1_count ELSE 0 END, 6)::DOUBLE AS pair_rate_term1, round(CASE WHEN term2_count > 0 THEN pair_count / term2_count ELSE 0 END, 6)::DOUBLE AS pair_rate_term2 FROM c ORDER BY pair_count DESC, group_label LIMIT 20")
+def pair_profile_window(spark, sf):
+    """Rates of a pair per period, near within a passage."""
+    return groups.pair_profile(passages(spark, sf), PHRASE, OTHER, unit="window")
+
+
+@query(f", o AS (SELECT passage_id, {NORM} AS t, {_AT.format(t=NORM, n=7, p=PHRASE)} AS a, {_AT.format(t=NORM, n=5, p=OTHER)} AS b FROM p WHERE contains({NORM}, 'PHRASE') AND contains({NORM}, 'OTHER')) SELECT passage_id, list_sort(list_distinct(list_concat(list_transform(a, lambda x: x - 1), list_transform(b, lambda x: x - 1)))) AS offsets, substr(t, greatest(least(a[1], b[1]) - 20, 1)::BIGINT, (greatest(a[1] + 7, b[1] + 5) + 20 - greatest(least(a[1], b[1]) - 20, 1))::BIGINT) AS snippet FROM o")
+def pair_snippets(spark, sf):
+    """All positions of two terms and the text around the first of each."""
+    norm = F.col(NORM)
+    rows = search.hits(passages(spark, sf), PHRASE).where(F.contains(NORM, F.lit(OTHER)))
+    snippet = T.pair_snippet(norm, T.find_offsets(norm, PHRASE), T.find_offsets(norm, OTHER), len(PHRASE), len(OTHER))
+    return rows.select("passage_id", T.find_all_offsets(norm, [PHRASE, OTHER]).alias("offsets"), snippet.alias("snippet"))
+
+
+@query(f" SELECT v AS term, count(*) AS n FROM p, (VALUES ('thetionering'), ('thet'), ('thetio'), ('thetione'), ('thetioneri'), ('thetionerimg'), ('thitionering')) AS x(v) WHERE contains({NORM}, v) GROUP BY 1")
+def variant_counts(spark, sf):
+    """Passages per spelling variant and prefix of a phrase."""
+    found = dict.fromkeys([*search.prefixes("thetionering"), *(v for v in search.variants("thetionering", {"n": "m", "e": "i"}) if v in ("thetionerimg", "thitionering"))])
+    terms = F.array(*map(F.lit, found))
+    p = passages(spark, sf)
+    return p.select(F.explode(F.filter(terms, lambda t: F.contains(F.col(NORM), t))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+_LETTERS, _SIGNS = "abcdefghijklmnopqrstuvwxyz", "嗣法云曰示頌評拈答問祖師禪和尚一丁七三上下不中且丘丙"
+
+
+def _signs(c):
+    return F.translate(F.lower(c), _LETTERS, _SIGNS)
+
+
+_CJK = f", c AS (SELECT *, translate(lower(regexp_replace(heading, '[^a-zA-Z]', '', 'g')), '{_LETTERS}', '{_SIGNS}') AS h FROM p)"
+
+
+@query(_CJK + " SELECT passage_id, len(regexp_extract_all(h, '[㐀-䶿一-鿿豈-﫿]')) > 0 AS has_cjk, CASE WHEN contains(h, '嗣') THEN 'lineage_relation' WHEN contains(h, '不中云') OR contains(h, '不中曰') OR contains(h, '不中示') THEN 'attributed_saying' WHEN text_type = 'dialogue' THEN 'case_appearance' WHEN contains(h, '頌') OR contains(h, '評') OR contains(h, '拈') THEN 'commentarial_reference' ELSE 'name_mention' END AS mention_class FROM c")
+def mention_classes(spark, sf):
+    """Classes of mentions and ideograph tests on headings written in ideographs."""
+    p = passages(spark, sf)
+    h = _signs(F.regexp_replace("heading", "[^a-zA-Z]", ""))
+    return p.select("passage_id", T.contains_cjk(h).alias("has_cjk"), T.mention_class("不中", h, F.col("text_type")).alias("mention_class"))
+
+
+@query(_CJK + " , g AS (SELECT unnest(list_distinct(list_transform(range(greatest(length(h) - 1, 0)), lambda i: substr(h, i + 1, 2)))) AS term FROM c) SELECT term, count(*) AS df FROM g WHERE substr(term, 1, 1) <> substr(term, 2, 1) GROUP BY 1")
+def cjk_bigrams(spark, sf):
+    """Document frequency of ideograph bigrams; other characters are left out before the windows."""
+    p = passages(spark, sf)
+    rows = p.select("doc_id", F.concat_ws(" A1 ", _signs(F.regexp_replace("heading", "[^a-zA-Z]", "")), F.lit("zz")).alias(NORM))
+    return lexical.term_frequencies(rows, (2,), "cjk")
+
+
+@query(_CJK + " SELECT n AS source, passage_id AS target, 'appears in evidence' AS relation FROM (SELECT passage_id, unnest(list_distinct(regexp_extract_all(h, '(.{1,3})(?:祖|禪師|師|和尚)', 1))) AS n FROM c)")
+def lineage_graph(spark, sf):
+    """Names before titles of respect to their passages."""
+    p = passages(spark, sf)
+    return evidence.lineage_edges(p.select("passage_id", _signs(F.regexp_replace("heading", "[^a-zA-Z]", "")).alias("zh_text_raw")))
+
+
+_TASKS = """ WITH d AS (SELECT doc_id, doc_id % 2 = 0 AS seeded, doc_id % 3 = 0 AS two, CASE WHEN doc_id % 5 = 0 THEN 'reuse' ELSE 'exact-reuse' END AS rel, CASE WHEN doc_id % 7 = 0 THEN 'accepted' ELSE 'needs_review' END AS st, doc_id % 4 / 2.0 AS conf, doc_id % 6 AS ring FROM documents)"""
+
+
+@query(_TASKS + ", r AS (SELECT doc_id, unnest(list_filter([CASE WHEN NOT two THEN 'two_evidence' END, CASE WHEN two AND NOT seeded THEN 'seed_role' END, CASE WHEN rel = 'reuse' THEN 'relation_label' END, CASE WHEN st = 'accepted' THEN 'state' END, CASE WHEN conf > 1 THEN 'confidence' END, CASE WHEN ring NOT IN (1, 2, 3) THEN 'ring' END], lambda x: x IS NOT NULL)) AS rule FROM d) SELECT doc_id::VARCHAR AS task_id, 'c' AS claim_id, rule FROM r", False)
+def adjudication_rules(spark, sf):
+    """Broken rules of adjudications made from documents."""
+    return evidence.violations(_tasks(spark, sf))
+
+
+@query(_TASKS + " SELECT 'c' AS claim_id, doc_id::VARCHAR AS source, (doc_id + 1)::VARCHAR AS target, rel AS relation FROM d WHERE two AND seeded", False)
+def evidence_graph(spark, sf):
+    """Seed to candidate edges of accepted claims."""
+    return evidence.edges(_tasks(spark, sf)).drop("confidence")
+
+
+def _tasks(spark, sf):
+    k = F.col("doc_id")
+    item = lambda ident, role: F.struct(ident.cast("string").alias("passage_id"), role.alias("evidence_role"), F.lit(None).cast("string").alias("side"), F.lit("q").alias("zh_quote"), F.lit(None).cast("string").alias("quote_zh"))
+    first = item(k, F.when(k % 2 == 0, "seed").otherwise("candidate"))
+    hint = F.struct(F.lit("x").alias("research_lens"), F.lit(None).cast("string").alias("edge_label"), (k % 6).cast("int").alias("map_ring"), F.lit(None).cast("string").alias("render_policy"), F.lit(None).cast("string").alias("render"))
+    none = F.lit(None).cast("string")
+    claim = F.struct(F.lit("c").alias("claim_id"), F.when(k % 3 == 0, F.array(first, item(k + 1, F.lit("candidate")))).otherwise(F.array(first)).alias("evidence"), F.array(F.lit("q")).alias("matched_phrases"), F.when(k % 5 == 0, "reuse").otherwise("exact-reuse").alias("relation_label"), none.alias("claim_type"), F.when(k % 7 == 0, "accepted").otherwise("needs_review").alias("review_state"), (k % 4 / 2.0).cast("string").alias("confidence"), none.alias("ring"), none.alias("boilerplate_assessment"), hint.alias("graph_hint"))
+    docs = table(spark, sf, "documents")
+    return docs.select(k.cast("string").alias("task_id"), k.cast("string").alias("seed_passage_id"), F.array(claim).alias("accepted_claims"), F.array().cast("array<string>").alias("rejected_candidates"))
+
+
+@query(f", u AS (SELECT passage_id, 0 AS k FROM p WHERE contains({NORM}, 'PHRASE') UNION ALL SELECT passage_id, 1 FROM p WHERE contains({NORM}, 'OTHER')) SELECT passage_id, CASE WHEN min(k) = 0 THEN 'PHRASE' ELSE 'OTHER' END AS phrase FROM u GROUP BY 1")
+def merged_evidence(spark, sf):
+    """Evidence of two searches, the first one's row of a passage winning."""
+    p = passages(spark, sf)
+    part = lambda phrase: search.hits(p, phrase).select("passage_id", F.lit(phrase).alias("phrase"))
+    return evidence.merged(part(PHRASE), part(OTHER))
+
+
+@query("WITH x AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), s AS (SELECT vec_id, sum(x * x) AS n FROM x GROUP BY 1) SELECT vec_id, i::INTEGER AS i, round(x / sqrt(n), 6) AS x FROM x JOIN s USING (vec_id) WHERE n > 0", False)
+def unit_vectors(spark, sf):
+    """Stored vectors of unit length, read back."""
+    rows = vectors.store(table(spark, sf, "embeddings"), f"{context.shared_folder(spark)}/vectors-{uuid.uuid4().hex[:12]}")
+    return rows.select("vec_id", F.posexplode("embedding").alias("i", "v")).select("vec_id", "i", F.round("v", 6).alias("x"))
+
+
+@query("SELECT event_id, event_type AS tool, ts::VARCHAR AS at FROM events ORDER BY ts DESC, event_id DESC LIMIT 20", False)
+def recent_calls(spark, sf):
+    """The latest log rows."""
+    rows = groups.recent(table(spark, sf, "events"), 20, "ts", "event_id")
+    return rows.select("event_id", F.col("event_type").alias("tool"), F.col("ts").cast("string").alias("at"))
+
+
+@query(_TFIDF + ", s AS (SELECT term, w AS sw FROM w WHERE doc_id = 7) SELECT doc_id, round(sum(w * sw), 6) AS score FROM w JOIN s USING (term) JOIN p USING (doc_id) WHERE doc_id <> 7 AND period IN ('P1', 'P4', 'P5') GROUP BY 1 HAVING round(sum(w * sw), 6) >= 0.001 ORDER BY score DESC, doc_id LIMIT 20")
+def similar_in_scope(spark, sf):
+    """Neighbours of a seed within a scope and above a similarity, filtered before the limit."""
+    p = passages(spark, sf)
+    model = _tfidf(p)
+    return model.similar(p.where(Scope(period=["P1", "P4", "P5"]).column() | (F.col("doc_id") == SEED)), SEED).where("score >= 0.001 and doc_id != 7")
+
+
+@query(_TFIDF + " SELECT term, round(max(w), 6) AS w_max FROM w GROUP BY 1 ORDER BY w_max DESC, term LIMIT 50")
+def heaviest_terms(spark, sf):
+    """Terms by their largest weight in a document."""
+    p = passages(spark, sf)
+    return _tfidf(p).weights(p).groupBy("term").agg(F.round(F.max("w"), 6).alias("w_max")).orderBy(F.desc("w_max"), "term").limit(50)
+
+
+@query(f" SELECT canon, count(*) AS passages, sum(length({NORM})) AS chars, count(*) FILTER (WHERE contains_person) AS with_person FROM p GROUP BY 1")
+def corpus_stats(spark, sf):
+    """Passages and characters per canon."""
+    return passages(spark, sf).groupBy("canon").agg(F.count("*").alias("passages"), F.sum(F.length(NORM)).alias("chars"), F.count_if("contains_person").alias("with_person"))
+
+
+def table_fingerprint(spark, sf):
+    """Count and order-free hash of the passage ids (T32, R28); the hash has no counterpart in SQL."""
+    return context.fingerprint(passages(spark, sf), "passage_id")
+
+
+QUERIES["table_fingerprint"] = table_fingerprint

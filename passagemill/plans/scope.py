@@ -35,6 +35,7 @@ class Scope:
     heading_path_prefix: str | None = None
     doc_range: tuple[int, int] | None = None
     passage_ids: list[str] = field(default_factory=list)
+    node_id: str | None = None  # corpus|canon|work|division / division, cut off anywhere
 
     def column(self) -> Column:
         parts: list[Column] = []
@@ -50,6 +51,12 @@ class Scope:
             parts.append(F.startswith(text_or_empty("heading_path"), F.lit(self.heading_path_prefix)))
         if self.doc_range:
             parts.append(F.col("doc_id").between(*self.doc_range))
+        if self.node_id:
+            for name, text in zip(("source_corpus", "canon", "source_work_id"), self.node_id.split("|")):
+                parts.append(F.col(name) == text)
+            if self.node_id.count("|") == 3:
+                div = self.node_id.rpartition("|")[2]
+                parts.append((F.col("div_path") == div) | F.startswith("div_path", F.lit(f"{div} / ")))
         if self.passage_ids:
             parts.append(F.col("passage_id").isin(self.passage_ids))
         return reduce(lambda a, b: a & b, parts, F.lit(True))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 import time
 from collections.abc import Callable
@@ -53,7 +54,7 @@ def tool(name: str):
 
 def _scope(a: dict) -> Scope:
     pick = lambda k: a.get(f"scope_{k}", a.get(k))
-    return Scope(canon=pick("canon"), period=pick("period"), origin=pick("origin"), tradition=pick("tradition"), source_work_id=pick("source_work_id"), author=a.get("author"), title=a.get("title"), heading_path_prefix=a.get("heading_path_prefix"))
+    return Scope(canon=pick("canon"), period=pick("period"), origin=pick("origin"), tradition=pick("tradition"), source_work_id=pick("source_work_id"), author=a.get("author"), title=a.get("title"), heading_path_prefix=a.get("heading_path_prefix"), node_id=pick("node_id"))
 
 
 @tool("status")
@@ -73,29 +74,45 @@ def tool_log_summary(c: Corpus) -> DataFrame:
     return groups.log_summary(c.need("log"))
 
 
+@tool("tool-log-recent")
+def tool_log_recent(c: Corpus, recent: int = 20) -> DataFrame:
+    return groups.recent(c.need("log"), recent)
+
+
 @tool("passage")
 def passage(c: Corpus, id: str) -> DataFrame:
     return search.passage(c.passages, check_passage_id(id)).select("passage_id", "zh_text_raw", "source_work_id", "main_title", "heading", "citation")
 
 
 @tool("source-read")
-def source_read(c: Corpus, source_work_id: str | None = None, cursor: str | None = None, start: int = 0, max_chars: int = 4000, overlap_chars: int = 400) -> DataFrame:
+def source_read(c: Corpus, source_work_id: str | None = None, passage_id: str | None = None, cursor: str | None = None, start: int = 0, max_chars: int = 4000, overlap_chars: int = 400, include_previous_tail: bool = True, include_next_head: bool = True) -> DataFrame:
+    """A page of a work from a cursor, a position or a passage, with its neighbours' text and cursors."""
     if cursor:
         source_work_id, start, max_chars = context.read_cursor(cursor)
+    elif passage_id:
+        rows = c.passages.where(F.col("passage_id") == check_passage_id(passage_id)).select("source_work_id", "doc_id").first()
+        if rows is None:
+            raise ValueError(f"no passage {passage_id}")
+        source_work_id = rows.source_work_id
+        before = c.passages.where((F.col("source_work_id") == source_work_id) & (F.col("doc_id") < rows.doc_id))
+        start = before.agg(F.sum(F.length("zh_text_raw") + 1)).first()[0] or 0
     if not source_work_id:
-        raise ValueError("source_work_id or cursor is needed")
-    return context.source_slice(c.passages, source_work_id, start, max_chars, overlap_chars).withColumn("next_cursor", F.lit(context.cursor(source_work_id, start + max_chars - min(overlap_chars, max_chars // 2), max_chars)))
+        raise ValueError("source_work_id, passage_id or cursor is needed")
+    got = context.source_read(c.passages, source_work_id, start, max_chars, overlap_chars, 200 if include_previous_tail else 0, 200 if include_next_head else 0)
+    return c.passages.sparkSession.createDataFrame([(json.dumps(got["segments"], ensure_ascii=False), *got["cursor"].values(), got["position"]["char_start"], got["position"]["char_end"], got["position"]["total_chars"], got["position"]["percent"])], "segments string, cursor string, next_cursor string, prev_cursor string, char_start long, char_end long, total_chars long, percent double")
 
 
 @tool("search")
 def search_tool(c: Corpus, phrase: str, limit: int = 20, mode: str = "hits", group_by: str = "work", limit_per_group: int = 5, variants: list[str] | None = None, **filters) -> DataFrame:
     """Exact phrase hits, or their clusters or usage groups."""
     phrases, scope = [phrase, *(variants or [])], _scope(filters)
-    if mode == "clusters":
-        return groups.outline_search(c.passages, phrase, "work" if group_by == "work" else "division", scope)
-    if mode == "trace":
-        return groups.trace_usage(c.passages, phrase, {"work": "source_work_id"}.get(group_by, group_by), scope, limit_per_group)
-    return search.brief(search.search(c.passages, phrases, scope, limit), phrase)
+    brief = lambda: search.brief(search.search(c.passages, phrases, scope, limit), phrase)
+    clusters = lambda: groups.outline_search(c.passages, phrases, "work" if group_by == "work" else "division", scope)
+    trace = lambda: groups.trace_usage(c.passages, phrases, {"work": "source_work_id", "division": "div_path"}.get(group_by, group_by), scope, limit_per_group)
+    if mode == "all":
+        row = lambda kind, df: df.select(F.lit(kind).alias("block"), F.to_json(F.struct("*")).alias("row"))
+        return row("hits", brief()).unionByName(row("clusters", clusters())).unionByName(row("trace", trace()))
+    return {"hits": brief, "clusters": clusters, "trace": trace}[mode]()
 
 
 @tool("heading-search")
@@ -131,8 +148,26 @@ def vector_neighbors(c: Corpus, seed: int | None = None, query_embedding: list[f
 
 
 @tool("similar")
-def similar(c: Corpus, seed: int, limit: int = 20) -> DataFrame:
-    return lexical.similar(c.need("weights"), seed, limit)
+def similar(c: Corpus, seed: int, limit: int = 20, min_similarity: float = 0.0, **filters) -> DataFrame:
+    """Neighbours in scope by cosine; filters are applied before the limit."""
+    scope = _scope(filters).column()
+    rows = c.need("weights") if not filters else c.need("weights").join(c.passages.where(scope | (F.col("doc_id") == seed)).select("doc_id"), "doc_id", "left_semi")
+    return lexical.similar(rows, seed, limit).where(F.col("score") >= min_similarity)
+
+
+@tool("next-seeds")
+def next_seeds(c: Corpus, seed: int, limit: int = 5) -> DataFrame:
+    """The nearest passages that no packet has worked on yet."""
+    near = lexical.similar(c.need("weights"), seed, 10 * limit).join(c.passages.select("doc_id", "passage_id"), "doc_id")
+    near = near if c.worked is None else near.join(c.worked.select("passage_id"), "passage_id", "left_anti")
+    return near.orderBy(F.desc("score"), "doc_id").limit(limit)
+
+
+@tool("sql")
+def sql_tool(c: Corpus, query: str, args: dict | None = None) -> DataFrame:
+    """A query over the view ``passages`` with parameter markers (:name)."""
+    c.passages.createOrReplaceTempView("passages")
+    return c.passages.sparkSession.sql(query, args=args or {})
 
 
 @tool("frontier")
@@ -209,8 +244,8 @@ def pair_appearance(c: Corpus, term1: str, term2: str, unit: str = "passage", wi
 
 
 @tool("pair-profile")
-def pair_profile(c: Corpus, term1: str, term2: str, group_by: str = "period", unit: str = "passage", limit_groups: int = 20, **filters) -> DataFrame:
-    return groups.pair_profile(c.passages, term1, term2, {"work": "main_title"}.get(group_by, group_by), unit, limit_groups, _scope(filters))
+def pair_profile(c: Corpus, term1: str, term2: str, group_by: str = "period", unit: str = "passage", window_chars: int = 80, limit_groups: int = 20, **filters) -> DataFrame:
+    return groups.pair_profile(c.passages, term1, term2, {"work": "main_title"}.get(group_by, group_by), unit, limit_groups, _scope(filters), window_chars)
 
 
 @tool("outline-search")
@@ -324,25 +359,68 @@ def parquet_info(c: Corpus, path: str) -> DataFrame:
     return rows.groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows"))
 
 
-# Composite tools: parts of one answer, each a tool of its own.
+# Composite tools: parts of one answer, each a tool of its own, with the argument that asks for it (None: always).
 COMPOSITE = {
-    "evidence-search": ["search", "first-attestation", "phrase-history", "trace-term-usage", "cluster-hits", "absence-check"],
-    "source-investigate": ["passage", "expand-context", "frontier", "similar", "vector-neighbors"],
+    "evidence-search": {"search": None, "first-attestation": "include_attestation", "phrase-history": "include_history", "trace-term-usage": "include_usage", "cluster-hits": "include_clusters", "absence-check": "include_absence_check", "query-expand-terms": "include_variants"},
+    "source-investigate": {"passage": None, "expand-context-adaptive": "include_context", "frontier": "include_frontier", "similar": "include_similar", "vector-neighbors": "include_vector"},
 }
+DEFAULT_ON = {"include_context", "include_frontier"}
+
 
+def composite(corpus: Corpus, name: str, args: dict) -> dict:
+    """Parts of a composite from one set of arguments, one after the other, with what each took; within a time budget if one is given.
 
-def call(corpus: Corpus, name: str, args: dict) -> dict:
-    """The envelope of one call: ok, rows or error, and elapsed time; nothing is raised."""
+    Arguments named like a part are that part's own. Parts that a spent budget leaves out are told as skipped.
+    """
+    parts, stages, spent = {}, [], 0
+    budget = args.get("max_elapsed_ms")
+    own = {k: dict(v) for k, v in args.items() if k in COMPOSITE[name]}
+    for part, flag in COMPOSITE[name].items():
+        if own and not args.get("phrase") and not args.get("seed_passage_id"):
+            wanted = part in own
+        else:
+            wanted = part in own or flag is None or args.get(flag, flag in DEFAULT_ON)
+        if not wanted:
+            continue
+        if budget is not None and spent >= budget:
+            stages.append({"part": part, "skipped": True})
+            continue
+        got = call(corpus, part, _arguments(part, args) | own.get(part, {}))
+        spent += got["elapsed_ms"]
+        stages.append({"part": part, "ok": got["ok"], "elapsed_ms": got["elapsed_ms"]})
+        parts[part] = got
+    out = {"ok": all(p["ok"] for p in parts.values()), "parts": parts, "stages": stages}
+    if name == "source-investigate" and args.get("phrases"):
+        out["phrase_histories"] = {p: call(corpus, "phrase-history", {"phrase": p}) for p in args["phrases"]}
+        out["ok"] = out["ok"] and all(p["ok"] for p in out["phrase_histories"].values())
+    return out
+
+
+def _arguments(part: str, args: dict) -> dict:
+    """What a part takes from the composite's arguments: its named ones and, if it has filters, the scope's."""
+    seed = args.get("seed_passage_id")
+    given = args | ({"id": seed, "passage_id": seed, "seed": int(seed) if str(seed).isdigit() else seed} if seed is not None else {})
+    known = inspect.signature(TOOLS[part]).parameters
+    scope = ("scope_canon", "scope_period", "scope_source_work_id", "scope_node_id", "canon", "period", "source_work_id", "node_id", "author", "title", "heading_path_prefix")
+    filters = {k: args[k] for k in scope if k in args} if any(p.kind is p.VAR_KEYWORD for p in known.values()) else {}
+    return filters | {k: given[k] for k in known if k in given and k != "c"}
+
+
+def call(corpus: Corpus, name: str, args: dict, offset: int = 0) -> dict:
+    """The envelope of one call: ok, rows or error, and elapsed time; nothing is raised.
+
+    An answer of more than ``ROWS`` rows says that it is truncated and where it goes on.
+    """
     began = time.perf_counter()
     out: dict = {"schema": "tool-envelope-v1", "tool": name}
     try:
         if name in COMPOSITE:
-            parts = {k: call(corpus, k, a) for k, a in args.items() if k in COMPOSITE[name]}
-            out |= {"ok": all(p["ok"] for p in parts.values()), "parts": parts}
+            out |= composite(corpus, name, args)
         elif name in TOOLS:
             df = TOOLS[name](corpus, **args)
-            rows = [json.loads(r) for r in df.limit(ROWS).toJSON().collect()]
-            out |= {"ok": True, "row_count": len(rows), "rows": rows}
+            rows = [json.loads(r) for r in (df.offset(offset) if offset else df).limit(ROWS + 1).toJSON().collect()]
+            more = len(rows) > ROWS
+            out |= {"ok": True, "row_count": min(ROWS, len(rows)), "rows": rows[:ROWS], "truncated": more} | ({"next_offset": offset + ROWS} if more else {})
         else:
             raise LookupError(f"no tool {name}")
     except Exception as e:  # an envelope tells any failure

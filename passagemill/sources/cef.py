@@ -36,7 +36,7 @@ def read_manifest(spark: SparkSession, folder: str) -> dict[str, str]:
 def to_passages(works: DataFrame, passages: DataFrame, manifest: dict[str, str]) -> DataFrame:
     """Passages with their work's fields; a value is the passage's, else the work's, else the corpus's."""
     default = lambda k: F.lit(manifest.get(k))
-    w = works.select(*(F.col(c).alias(f"w_{c}") for c in works.columns))
+    w = works.dropDuplicates(["work_id"]).select(*(F.col(c).alias(f"w_{c}") for c in works.columns))
     rows = passages.join(w, passages["work_id"] == w["w_work_id"], "left")
     pick = lambda *cs: F.coalesce(*cs, F.lit(""))
     return rows.select(

@@ -21,7 +21,11 @@ GLOSS = 1000
 
 def entries(content: bytes, source: str):
     """(term, source, sanskrit, gloss) of one JSON dictionary in any of its four shapes."""
-    got = json.loads(content)
+    try:
+        got = json.loads(content)
+    except ValueError:  # a broken file tells so as a row that readers can find and that no term has
+        yield None, source, None, "unreadable"
+        return
     if isinstance(got, list):
         for e in got:
             yield e.get("t"), source, e.get("s"), e.get("g")
@@ -88,6 +92,14 @@ def persons_in(content: bytes):
         el.clear()
 
 
+def _point(parts: list[str]) -> tuple[float | None, float | None]:
+    """Latitude and longitude; nulls where they are no two numbers."""
+    try:
+        return float(parts[0]), float(parts[1])
+    except (IndexError, ValueError):
+        return None, None
+
+
 def places_in(content: bytes):
     for _, el in ET.iterparse(io.BytesIO(content)):
         if _local(el.tag) != "place":
@@ -98,7 +110,7 @@ def places_in(content: bytes):
         point = geo.replace(",", " ").split()
         district = next((" ".join("".join(d.itertext()).split()) for d in el.iter() if _local(d.tag) == "district"), None)
         if ident and names:
-            yield ident, names[0], [n for n in dict.fromkeys(names[1:]) if n], *(map(float, point[:2]) if len(point) >= 2 else (None, None)), district
+            yield ident, names[0], [n for n in dict.fromkeys(names[1:]) if n], *_point(point), district
         el.clear()
 
 

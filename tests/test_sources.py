@@ -38,10 +38,10 @@ def test_cef(spark, tmp_path):
 
 
 def test_html(spark):
-    html = f'<title>A &amp; B</title><body><div class="toolbar">x</div><script>no</script><p>Some&nbsp;text &lt;here&gt; that is long enough to keep</p><img src="data:image/png;base64,{"A" * 8000}"><img src="data:image/svg+xml;base64,{"A" * 9000}"></body>'
-    df = spark.createDataFrame([(1, "u", html), (2, "v", "<title>404 gone</title>" + html), (3, "w", "short"), (4, None, None)], "page_id long, url string, html string")
+    html = f'<title>A &amp; B</title><body><div id="toolbar">x</div><script>no</script><p>Some&nbsp;text &lt;here&gt; that is long enough to keep</p><img src="data:image/png;base64,{"A" * 8000}"><img src="data:image/svg+xml;base64,{"A" * 9000}"></body>'
+    df = spark.createDataFrame([(1, "u", html), (2, "v", "<title>404 gone</title>" + html), (3, "w", "short"), (4, None, None), (5, "x", html.replace("A &amp; B", "404th regiment")), (6, "y", html.replace("A &amp; B", "PAGE not found"))], "page_id long, url string, html string")
     rows = pages.passages_of(df).collect()
-    assert [(r.page_id, r.title, r.text) for r in rows] == [(1, "A & B", "Some text <here> that is long enough to keep")]
+    assert [(r.page_id, r.title, r.text) for r in rows] == [(i, t, "Some text <here> that is long enough to keep") for i, t in ((1, "A & B"), (5, "404th regiment"))]
     assert df.select(pages.largest_inline_image(F.col("html")).alias("n")).first().n == 6000
 
 
@@ -106,12 +106,15 @@ def test_vectors(spark):
 
 
 def test_evidence(spark):
-    claim = {"claim_id": "c", "evidence": [{"passage_id": "a", "role": "seed"}, {"passage_id": "b", "role": "candidate"}], "matched_phrases": [], "relation_label": "reuse", "review_state": "accepted", "confidence": 0.5, "ring": 1}
-    bad = claim | {"claim_id": "d", "evidence": claim["evidence"][:1], "confidence": 2.0, "review_state": "?", "ring": 7}
-    tasks = spark.createDataFrame([("t", "a", [claim, bad])], evidence.TASK)
-    assert {(r.claim_id, r.rule) for r in evidence.violations(tasks).collect()} == {("d", k) for k in ("two_evidence", "roles", "state", "confidence", "ring")}
-    assert [(r.source, r.target) for r in evidence.edges(tasks).collect()] == [("a", "b")]
-    assert {r.id for r in evidence.nodes(tasks).collect()} == {"a", "b"}
+    claim = {"claim_id": "c", "evidence": [{"passage_id": "a", "evidence_role": "seed", "zh_quote": "q"}, {"passage_id": "b", "side": "canon", "quote_zh": "q"}], "matched_phrases": ["q"], "relation_label": "exact-reuse", "review_state": "needs_review", "confidence": "0.5", "graph_hint": {"research_lens": "x", "map_ring": 1, "render_policy": "collapse"}}
+    few = claim | {"claim_id": "d", "evidence": claim["evidence"][:1], "confidence": "2.0", "review_state": "?", "relation_label": "reuse", "matched_phrases": [], "boilerplate_assessment": "maybe", "graph_hint": {"map_ring": 7, "render": "no"}}
+    odd = claim | {"claim_id": "e", "evidence": [{"passage_id": "", "evidence_role": "x", "zh_quote": ""}, {"passage_id": "b", "side": "zen", "zh_quote": "q"}], "confidence": "high", "relation_label": None, "claim_type": "cites-sutra"}
+    tasks = spark.createDataFrame([("t", "a", [claim, few, odd], []), ("u", None, [claim | {"confidence": "certain"}], None)], evidence.TASK)
+    want = {("t", "d", k) for k in ("two_evidence", "matched_phrases", "relation_label", "state", "confidence", "boilerplate", "research_lens", "ring", "render_policy")}
+    want |= {("t", "e", k) for k in ("candidate_role", "zh_quote", "passage_id", "evidence_role")} | {("u", None, "missing_seed_passage_id"), ("u", None, "missing_rejected_candidates"), ("u", "c", "confidence")}
+    assert {tuple(r) for r in evidence.violations(tasks).collect()} == want
+    assert {(r.source, r.target) for r in evidence.edges(tasks).collect()} == {("a", "b")}
+    assert {r.id for r in evidence.nodes(tasks).collect()} == {"a", "b", ""}
     p = spark.createDataFrame([("x", "Tang", 6, "趙州禪師"), ("y", "Song", 8, "")], "passage_id string, period string, period_rank int, zh_text_raw string")
     assert {(r.source, r.target, r.relation) for r in evidence.timeline_edges(p).collect()} == {("Tang", "Song", "precedes"), ("Tang", "x", "member"), ("Song", "y", "member")}
     assert evidence.lineage_edges(p).count() == 1
