@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import mention_class
+from ..functions.text import contains_cjk, mention_class, truncated
 from .groups import top_per_group
 
 BROADCAST_TERMS = 500_000
@@ -56,12 +56,12 @@ def co_named(mentions_df: DataFrame, name_form: str) -> Column:
     return F.array_contains("name_forms", name_form)
 
 
-def _greedy(table: list[tuple[str, int]]):
-    """Longest matches left to right; a match needs only an uncovered start."""
-    longest = max((len(t) for t, _ in table), default=0)
-    scores = dict(table)
+def _greedy(shared):
+    """Longest matches left to right; a match needs only an uncovered start. ``shared``: a broadcast of scores by term."""
 
     def run(batches):
+        scores = shared.value
+        longest = max(map(len, scores), default=0)
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
@@ -93,8 +93,34 @@ def annotate(passages: DataFrame, dictionary: DataFrame, text: str = "zh_text_no
     n = rows.count()
     if n > most_terms:
         raise ValueError(f"the dictionary has {n} terms; {most_terms} may be sent to executors")
-    table = [(r.term, 10 * len(r.term) + 5 * bool(r.s)) for r in rows.collect()]
-    return passages.select("doc_id", text).mapInArrow(_greedy(table), "doc_id long, terms array<struct<term: string, start: int, score: int>>")
+    got = rows.toArrow()
+    scores = {t: 10 * len(t) + 5 * bool(s) for t, s in zip(got["term"].to_pylist(), got["s"].to_pylist()) if t}
+    shared = passages.sparkSession.sparkContext.broadcast(scores)
+    return passages.select("doc_id", text).mapInArrow(_greedy(shared), "doc_id long, terms array<struct<term: string, start: int, score: int>>")
+
+
+def extract_terms(passages: DataFrame, dictionary: DataFrame, most: int = 8) -> DataFrame:
+    """(doc_id, rank, term, start, score, gloss, source, sanskrit): each passage's best terms by score, then place, with their entry."""
+    rows = annotate(passages, dictionary).select("doc_id", F.posexplode(F.slice(F.array_sort("terms", lambda a, b: F.when(a["score"] != b["score"], b["score"] - a["score"]).otherwise(a["start"] - b["start"])), 1, most)).alias("rank", "t")).select("doc_id", (F.col("rank") + 1).alias("rank"), "t.*")
+    return rows.join(best_entries(dictionary), "term")
+
+
+def extract_entities(passages: DataFrame, persons: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc_id, start, form, kind, id): persons and places by any of their names, found in one greedy pass; a form's best bearer each."""
+    forms = name_forms(persons).select("form", F.lit("person").alias("kind"), F.col("person_id").alias("id"), "priority")
+    forms = forms.unionByName(name_forms(places, "place_id").select("form", F.lit("place").alias("kind"), F.col("place_id").alias("id"), "priority"))
+    best = forms.groupBy("form", "kind").agg(F.min(F.struct("priority", "id"))["id"].alias("id"))
+    found = annotate(passages, forms.select(F.col("form").alias("term"), F.lit("").alias("sanskrit")).distinct())
+    return found.select("doc_id", F.explode("terms").alias("t")).select("doc_id", F.col("t.start").alias("start"), F.col("t.term").alias("form")).join(best, "form")
+
+
+def annotate_answer(answer: DataFrame, texts: list[str], dictionary: DataFrame, persons: DataFrame, places: DataFrame, most: int = 8, gloss: int = 300) -> DataFrame:
+    """What a limited answer's texts mention: terms with a cut gloss, persons and places, each once (kind, id, note)."""
+    text = F.concat_ws("\n", *(F.coalesce(F.col(c), F.lit("")) for c in texts))
+    rows = answer.select(F.monotonically_increasing_id().alias("doc_id"), text.alias("zh_text_normalized")).where(contains_cjk(F.col("zh_text_normalized")))
+    terms = extract_terms(rows, dictionary, most).groupBy(F.col("term").alias("id")).agg(F.max("score").alias("s"), F.max(truncated(F.col("gloss"), gloss)).alias("note"))
+    terms = terms.orderBy(F.desc("s"), "id").limit(most).select(F.lit("term").alias("kind"), "id", "note")
+    return terms.unionByName(extract_entities(rows, persons, places).groupBy("kind", "id").agg(F.min("form").alias("note")))
 
 
 def best_entries(dictionary: DataFrame) -> DataFrame:

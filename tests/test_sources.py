@@ -52,6 +52,13 @@ def test_dictionaries_and_annotation(spark, tmp_path):
     rows = {r.term: r for r in d.collect()}
     assert sorted(rows) == sorted(["如是", "如是我聞", "我聞", "一時", "佛在"]) and len(rows["如是我聞"].gloss) == 1001
     p = spark.createDataFrame([(1, "如是我聞一時如是"), (2, None)], "doc_id long, zh_text_normalized string")
+    best = people.extract_terms(p, d, 2).orderBy("rank").collect()
+    assert [(r.rank, r.term, r.source) for r in best] == [(1, "如是我聞", "soothill"), (2, "如是", "soothill")]
+    persons = spark.createDataFrame([("A1", "我聞", ["如是"]), ("A0", "x", ["如是"])], "person_id string, primary_name string, alt_names array<string>")
+    places = spark.createDataFrame([("P1", "一時", None)], "place_id string, primary_name string, alt_names array<string>")
+    assert {(r.start, r.form, r.kind, r.id) for r in people.extract_entities(p, persons, places).collect()} == {(0, "如是", "person", "A0"), (2, "我聞", "person", "A1"), (4, "一時", "place", "P1"), (6, "如是", "person", "A0")}
+    noted = {(r.kind, r.id) for r in people.annotate_answer(p, ["zh_text_normalized"], d, persons, places).collect()}
+    assert {("term", "如是我聞"), ("person", "A1"), ("place", "P1")} <= noted
     terms = {r.doc_id: [(t.term, t.start, t.score) for t in r.terms] for r in people.annotate(p, d).collect()}
     assert terms == {1: [("如是我聞", 0, 40), ("一時", 4, 20), ("如是", 6, 25)], 2: []}
     assert {r.term for r in people.best_entries(d).where("source = 'soothill'").collect()} == {"如是", "如是我聞"}
