@@ -180,7 +180,11 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray, cuts: int
 
 
 def fit(counts: DataFrame, labels: DataFrame, most: int = 20_000, id_col: str = "doc_id", label_col: str = "quality") -> DecisionList:
-    """Learn from at most ``most`` labelled rows, those whose hashed ids come first."""
+    """Learn from at most ``most`` labelled rows, those whose hashed ids come first.
+
+    Rows without an id or a label are not learned from; a repeated id gives so many examples; extra columns are
+    ignored; no labels, or no rejected ones: an empty list, which keeps all.
+    """
     x = features()
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("good")).where("good is not null and doc_id is not null")
     rows = counts.join(known, "doc_id").select(F.xxhash64("doc_id").alias("order"), "doc_id", "good", *(c.alias(f"f_{f}") for f, c in x.items()))
@@ -190,6 +194,6 @@ def fit(counts: DataFrame, labels: DataFrame, most: int = 20_000, id_col: str =
 
 
 def judge(counts: DataFrame, rules: DecisionList) -> DataFrame:
-    """Add base_failed and kept to the counts."""
+    """Add base_failed and kept to the counts; blank texts have no words and fail, repeated rows are judged each, other columns stay."""
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     return counts.withColumn("base_failed", failed).withColumn("kept", ~failed & rules.column())

@@ -1,6 +1,9 @@
 import corpus_pipeline
+from passagemill.llm import pii, toxicity
 from passagemill.llm.workspace import Workspace
 
+from test_near_join import brute
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -19,6 +22,31 @@ def test_stages_take_effect(spark):
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
+def test_near_copies_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    groups = brute([(r.doc_id, r.text) for r in docs.collect()], 5, 80, 100)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, (_, first) in groups.items() if d == first)
+    assert kept.count() < docs.count()
+
+
+def test_toxic_documents_go_by_their_score(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    score = toxicity.fit(docs, labels).scorer()
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, SF).collect()}
+    assert kept == {r.doc_id for r in docs.collect() if score(r.text or "") < 0.5}
+
+
+def test_redaction_leaves_no_rule_span(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    after = {r.doc_id: r for r in corpus_pipeline.redact_personal(spark, docs, SF).collect()}
+    for r in docs.collect():
+        text = after[r.doc_id].text
+        assert not any(pii.base_spans(text).values()) and after[r.doc_id].n_chars == len(text)
+        if not pii.regions(r.text):
+            assert text == r.text
+
+
 def test_near_copies_and_repeated_rows(spark, odd):
     kept = corpus_pipeline.drop_near_copies(spark, odd, SF)
     assert kept.columns == odd.columns

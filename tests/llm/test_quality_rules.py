@@ -2,7 +2,7 @@ import re
 
 import numpy as np
 
-from passagemill.llm.quality import COUNTS, DecisionList, fit, judge, learn, measure
+from passagemill.llm.quality import COUNTS, DecisionList, features, fit, judge, learn, measure
 from passagemill.llm.queries import op2_decision_list, table
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +61,16 @@ def test_odd_rows(spark, odd, nothing):
     assert measure(nothing).count() == 0
     assert fit(measure(nothing), labels) == DecisionList(())
     assert str(DecisionList(())).endswith("keep")
+
+
+def test_verdicts_equal_the_rules_row_by_row(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    counts = measure(docs).cache()
+    rules = fit(counts, labels)
+    x = features()
+    rows = judge(counts, rules).select("n_words", "n_repeat_words", "kept", *(c.alias(f"f_{k}") for k, c in x.items())).collect()
+    assert rules.rules and len({r.kept for r in rows}) == 2
+    for r in rows:
+        failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        rejected = any(all(r[f"f_{c.feature}"] > c.threshold if c.above else r[f"f_{c.feature}"] <= c.threshold for c in rule) for rule in rules.rules)
+        assert r.kept == (not failed and not rejected)
