@@ -9,11 +9,15 @@ smaller bands that it can still pair with.
 
 Cost-based allocation: a segment with at most one shingle is shared by chance
 with very many sets. Such thin segments get no budget (their keys are left
-out) and for each of them two segments, the first of the scheme's fixed order,
-get a budget of one more: there the segment's one-deletion neighbourhood is
-indexed too. Whatever two sets share among thin segments, each of them has at
-least as many upgraded segments, so no pair is lost; a set with more than half
-of its segments thin keeps all of its keys.
+out) and for each of them two segments, the cheapest of the scheme, get a
+budget of one more: there the segment's one-deletion neighbourhood is indexed
+too. What that costs is measured: a pass over all texts to be indexed counts
+the shingles in each of CELLS equal ranges of the universe, and a segment costs
+what falls in its range, so those with shingles that very many texts hold come
+last. The costs are one small table for all sets, hence so is a scheme's order.
+Whatever two sets share among thin segments, each of them has at least as many
+upgraded segments, so no pair is lost; a set with more than half of its
+segments thin keeps all of its keys.
 
 Sets equal as a whole are one class and only its smallest document is indexed.
 A key's documents are compared with the key's smallest document first, and
@@ -42,6 +46,7 @@ SKETCH = 16  # longs of parity bits
 WIDE = 16_384  # parity bits of sets with more than WIDE_FROM elements, for which the others are too few
 WIDE_FROM = 1_500
 FIRST = 16  # smallest open keys that a document carries; more make repeated candidates rarer
+CELLS = 4096  # ranges of the shingle universe whose load is measured
 BLOCK_ROWS = 2048  # documents of a key that are compared with as many in one piece
 BROADCAST_ROWS = 1_000_000  # ids; larger sides are joined by shuffle
 
@@ -49,10 +54,26 @@ BROADCAST_ROWS = 1_000_000  # ids; larger sides are joined by shuffle
 class Scheme:
     """Size bands and their segment counts for a threshold num/den."""
 
-    def __init__(self, num: int, den: int, widen: int = 3):
+    def __init__(self, num: int, den: int, widen: int = 3, load: np.ndarray | None = None):
+        """``load``: what upgrades cost in each of CELLS ranges of the universe, all alike if not given."""
         self.num, self.den = num, den
         self.ratio = (den / num) ** widen
         self.edges, self.segments = [1], []
+        load = np.ones(CELLS, np.int64) if load is None else np.asarray(load, np.int64)
+        self.load = load * (1 << 20) // max(1, int(load.max()))  # integers, so that every worker finds the same order
+        self.below = np.append(0, np.cumsum(self.load))
+        self.ranks: dict[int, np.ndarray] = {}
+
+    def rank(self, m: int) -> np.ndarray:
+        """Place of each of m segments in the order of their costs, the cheapest first, ties by number."""
+        if m not in self.ranks:
+            edge = np.arange(m + 1, dtype=np.int64) * CELLS
+            cell = np.minimum(edge // m, CELLS - 1)
+            upto = self.below[cell] * m + self.load[cell] * (edge - cell * m)
+            out = np.empty(m, np.int64)
+            out[np.argsort(np.diff(upto), kind="stable")] = np.arange(m)
+            self.ranks[m] = out
+        return self.ranks[m]
 
     def _reach(self, n: int) -> None:
         while self.edges[-1] <= n:
@@ -73,8 +94,8 @@ class Scheme:
         return out
 
 
-def segment_keys(tokens: np.ndarray, band: int, m: int) -> np.ndarray:
-    """Index keys of a sorted set of distinct hashes in one scheme of m segments."""
+def segment_keys(tokens: np.ndarray, band: int, m: int, rank: np.ndarray) -> np.ndarray:
+    """Index keys of a sorted set of distinct hashes in one scheme of m segments, upgraded in the order of ``rank``."""
     seg = ((tokens >> U(32)) * U(m)) >> U(32)
     at = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
     ids = seg[at]
@@ -86,18 +107,19 @@ def segment_keys(tokens: np.ndarray, band: int, m: int) -> np.ndarray:
         exact = mix(total + tag * (size.astype(np.uint64) * U(2) + U(1)))
         thin = m - len(at) + int((size == 1).sum())
         up = min(2 * thin, m)
-        keep = size > 1
-        keep |= ids < U(up)
+        cheap = rank[ids.astype(np.int64)] < up
+        keep = (size > 1) | cheap
         whole = 2 * thin > m
         out = [exact] if whole else [exact[keep]]
         if whole:
             empty = np.setdiff1d(np.arange(m, dtype=np.uint64), ids)
             out.append(mix(mix((U(band) << U(40)) + empty + U(1))))  # content and size 0
         if up:
-            last = int(np.searchsorted(seg, U(up)))
-            which = np.searchsorted(at, np.arange(last), "right") - 1
+            which = np.repeat(np.arange(len(at)), size)
+            chosen = np.flatnonzero(cheap[which])
+            which = which[chosen]
             less = size[which] - 1
-            key = mix(total[which] - spread[:last] + tag[which] * (less.astype(np.uint64) * U(2) + U(1)))
+            key = mix(total[which] - spread[chosen] + tag[which] * (less.astype(np.uint64) * U(2) + U(1)))
             out.append(key if whole else key[less > 0])
     return np.concatenate(out)
 
@@ -130,15 +152,29 @@ def _digest(w: int, lower: bool):
     return run, ", ".join(f"{c} long" for c in names[:-1]) + ", wide binary"
 
 
-def _index(w: int, lower: bool, num: int, den: int):
+def _load(w: int, lower: bool):
+    """A task's shingles in each range of the universe: (cell, load)."""
+
+    def run(batches):
+        load = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for t in shingle_sets(batch.column(0), w, lower):
+                load += np.bincount(((t >> U(32)) * U(CELLS) >> U(32)).astype(np.int64), minlength=CELLS)
+        used = np.flatnonzero(load)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(load[used])], ["cell", "load"])
+
+    return run
+
+
+def _index(w: int, lower: bool, num: int, den: int, load: np.ndarray):
     def run(batches):
-        scheme = Scheme(num, den)
+        scheme = Scheme(num, den, load=load)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             keys, owner = [], []
             for i, t in enumerate(shingle_sets(batch.column(1), w, lower)):
                 for band, m in scheme.of(len(t)) if len(t) else ():
-                    k = segment_keys(t, band, m)
+                    k = segment_keys(t, band, m, scheme.rank(m))
                     keys.append(k)
                     owner.append(np.full(len(k), ids[i], np.int64))
             if not keys:
@@ -316,6 +352,13 @@ class JaccardJoin:
     def _narrow(self, ids: DataFrame):
         return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
+    def _costs(self, docs: DataFrame) -> np.ndarray:
+        """Shingles of all ``docs`` in each of CELLS ranges of the universe."""
+        load = np.zeros(CELLS, np.int64)
+        for cell, n in docs.select("text").mapInArrow(_load(self.words, self.lower), "cell long, load long").groupBy("cell").agg(F.sum("load")).collect():
+            load[cell] = n
+        return load
+
     def _links(self, pairs: DataFrame, sets: DataFrame, docs: DataFrame, ws: Workspace) -> DataFrame:
         """Of candidate pairs (a, b), those that reach the threshold."""
         side = ["n", *(f"s{i}" for i in range(SKETCH))]
@@ -352,7 +395,7 @@ class JaccardJoin:
         copies = classed.where("doc_id != class_id or class_id is null").select("doc_id").distinct()
         single = docs.where("doc_id is not null").join(self._narrow(copies), "doc_id", "left_anti").select("doc_id", "text")
         heads = sets.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        run, schema = _index(self.words, self.lower, self.num, self.den)
+        run, schema = _index(self.words, self.lower, self.num, self.den, self._costs(single))
         keys = single.mapInArrow(run, schema).repartition("key").sortWithinPartitions("key", "id")
         buckets = ws.write(keys.mapInArrow(_buckets, "key long, leader long, id long"), "buckets")
         pairs = buckets.where("leader != id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from passagemill.llm.near_join import JaccardJoin, Scheme, segment_keys
+from passagemill.llm.near_join import CELLS, JaccardJoin, Scheme, segment_keys
 
 
 def shingles(text, w):
@@ -87,7 +87,7 @@ def test_large_sets_pass_the_wide_bound(spark):
 def test_similar_sets_share_a_key():
     rng = np.random.default_rng(3)
     for num, den in ((90, 100), (80, 100), (50, 100)):
-        scheme = Scheme(num, den)
+        scheme = Scheme(num, den, load=rng.integers(0, 50, CELLS))
         for _ in range(400):
             n = int(rng.integers(3, 120))
             pool = rng.integers(0, 2**63, n * 3, dtype=np.uint64)
@@ -97,10 +97,25 @@ def test_similar_sets_share_a_key():
             both = len(np.intersect1d(a, b))
             if not len(b) or den * both < num * (len(a) + len(b) - both) or np.array_equal(a, b):
                 continue
-            keys = [set(np.concatenate([segment_keys(x, k, m) for k, m in scheme.of(len(x))] or [np.zeros(0)]).tolist()) for x in (a, b)]
+            keys = [set(np.concatenate([segment_keys(x, k, m, scheme.rank(m)) for k, m in scheme.of(len(x))] or [np.zeros(0)]).tolist()) for x in (a, b)]
             assert keys[0] & keys[1]
 
 
+def test_upgrades_go_to_the_cheapest_segments(spark):
+    load = np.ones(CELLS, np.int64)
+    load[: CELLS // 4] = 1000
+    scheme = Scheme(90, 100, load=load)
+    assert scheme.rank(8).tolist() == [6, 7, 0, 1, 2, 3, 4, 5]
+    assert sorted(scheme.rank(CELLS * 3 + 1).tolist()) == list(range(CELLS * 3 + 1))
+    assert Scheme(90, 100).rank(7).tolist()[0] == 0 and Scheme(90, 100, load=load * 0).rank(5).tolist() == list(range(5))
+    rows = [(i, f"same passage of many words here x{i}") for i in range(40)] + [(40, ""), (41, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    costs = JaccardJoin(3, 90, 100)._costs(df.select("doc_id", "text"))
+    assert costs.sum() == sum(len(shingles(t, 3)) for _, t in rows)
+    assert (costs >= 40).sum() == len(shingles("same passage of many words here", 3))
+    assert JaccardJoin(3, 90, 100)._costs(df.where("false")).sum() == 0
+
+
 def test_odd_rows(odd, nothing):
     got = JaccardJoin(3, 90, 100).components(odd).collect()
     assert len(got) == 13
