@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import context, evidence, groups, lexical, people, search, vectors
+from ..operators import context, evidence, groups, lexical, people, registry, search, vectors
 from ..sources import pages as html_pages
 from ..sources import references
 from ..sources.passages import CHRONOLOGICAL_SQL, PASSAGES_SQL, from_documents
@@ -739,3 +739,33 @@ def table_fingerprint(spark, sf):
 
 
 QUERIES["table_fingerprint"] = table_fingerprint
+
+
+# ------------------------------------------------------------------- registry
+
+_ITEMS = "SELECT o_orderkey AS item_id, o_orderstatus AS artifact_type, o_custkey::VARCHAR AS seed_passage_id, o_orderkey % 7 AS change_count, o_orderdate::VARCHAR AS modified_utc FROM orders"
+
+
+def _items(spark, sf):
+    """Orders in the role of a registry's items."""
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("item_id"), F.col("o_orderstatus").alias("artifact_type"), F.col("o_custkey").cast("string").alias("seed_passage_id"), (F.col("o_orderkey") % 7).alias("change_count"), F.col("o_orderdate").cast("string").alias("modified_utc"))
+
+
+@query(_ITEMS + " WHERE o_custkey = 7 ORDER BY o_orderdate DESC, artifact_type, item_id LIMIT 20", False)
+def prior_work(spark, sf):
+    """Items of one seed, the latest first."""
+    return registry.prior_work(_items(spark, sf), "7", 20)
+
+
+@query(_ITEMS + " ORDER BY o_orderdate DESC, change_count DESC, item_id LIMIT 20", False)
+def work_summary(spark, sf):
+    """The latest items."""
+    return registry.work_summary(_items(spark, sf), 20)
+
+
+@query("SELECT o_orderkey AS item_id, o_orderpriority AS phrase, regexp_replace(o_orderpriority, '[^0-9A-Z]', '', 'g') AS normalized_phrase, o_custkey AS total_hits, o_orderkey % 7 AS result_count FROM orders WHERE regexp_replace(o_orderpriority, '[^0-9A-Z]', '', 'g') = '4NOTSPECIFIED' ORDER BY o_custkey DESC, result_count DESC, item_id LIMIT 20", False)
+def phrase_status(spark, sf):
+    """Observations of a phrase in any spelling."""
+    phrase = F.col("o_orderpriority")
+    seen = table(spark, sf, "orders").select(F.col("o_orderkey").alias("item_id"), phrase.alias("phrase"), registry.T.normalize(phrase).alias("normalized_phrase"), F.col("o_custkey").alias("total_hits"), (F.col("o_orderkey") % 7).alias("result_count"))
+    return registry.phrase_status(seen, "4 — NOT SPECIFIED", 20)
