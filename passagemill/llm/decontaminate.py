@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import lean, share
 from .textkit import U, mix, windows
 from .workspace import Workspace
 
@@ -96,6 +97,9 @@ def canon_of(small: frozenset[str]) -> Canon:
     return Canon(small)
 
 
+share("decontaminate", canon_of.cache_clear)
+
+
 class Index(dict):
     """Chunk to row of three arrays (template, plain, placeholder), so that a text is looked up in one pass.
 
@@ -337,11 +341,11 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     ws = Workspace(spark, "decontaminate")
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).where("id is not null")
     small = frozenset(r.word for r in items.select("text").mapInArrow(_vocabulary, "word string").distinct().toLocalIterator())
-    sizes = items.mapInArrow(_counted(small), "id long, n long, units long").groupBy("id").agg(F.max("n").alias("n"), F.collect_set("units").alias("units"), F.max("units").alias("most"))
+    sizes = items.mapInArrow(lean(_counted(small), "decontaminate"), "id long, n long, units long").groupBy("id").agg(F.max("n").alias("n"), F.collect_set("units").alias("units"), F.max("units").alias("most"))
     short = sizes.select(F.explode(F.array_union(F.array("n"), "units")).alias("n")).where(f"n >= {SHORT} and n < {LENGTH}").distinct().collect()
     every = sorted({*(r.n for r in short), LENGTH})
     lengths = (every, every)
-    known = ws.write(items.mapInArrow(_own(small, lengths), COLUMNS), "items")
+    known = ws.write(items.mapInArrow(lean(_own(small, lengths), "decontaminate"), COLUMNS), "items")
     length = F.when(F.col("n") < LENGTH, F.col("n")).otherwise(LENGTH)
     templates = known.where("template").groupBy("id").agg(F.countDistinct("unit").alias("n_templates"))
     sized = sizes.select("id", (F.col("n") - length + 1).alias("n_plain"), F.col("most").alias("units")).join(templates, "id", "left")
@@ -350,7 +354,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     few = count <= most_broadcast
     sought = Sought.of(distinct, count, most_broadcast)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    hits = rows.mapInArrow(_met(small, lengths, sought), COLUMNS).drop("literals")
+    hits = rows.mapInArrow(lean(_met(small, lengths, sought), "decontaminate"), COLUMNS).drop("literals")
     side = known.select(F.col("id").alias("item_id"), "hash", F.col("pos").alias("item_pos"), F.col("unit").alias("item_unit"), F.col("slots").alias("item_slots"), "literals")
     met = hits.join(F.broadcast(side) if few else side, "hash")
     # A plain window is in a line of words and in one of units, where it fills what a reworded copy keeps as it is.
@@ -361,7 +365,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     literal = F.size(F.array_distinct(F.flatten(F.collect_list("literals"))))
     counts = met.groupBy(*line).agg(F.countDistinct("item_pos").alias("n_windows"), literal.alias("n_literals"))
     pairs = met.where("template").select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("v")).select(*line, "v.item_slots", "v.slots").distinct()
-    repeated = items.mapInArrow(_repeated(small), "item_id long, item_slots long").distinct()
+    repeated = items.mapInArrow(lean(_repeated(small), "decontaminate"), "item_id long, item_slots long").distinct()
     pairs = pairs.join(F.broadcast(repeated) if few else repeated, ["item_id", "item_slots"], "left_semi")
     slots = pairs.groupBy(*line, "item_slots").agg(F.count("*").alias("values")).groupBy(*line).agg(F.avg((F.col("values") == 1).cast("double")).alias("consistent"))
     sized = sized.withColumnRenamed("id", "item_id")

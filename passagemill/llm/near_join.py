@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .memory import lean
 from .textkit import U, mix, shingle_sets
 from .workspace import Workspace
 
@@ -355,7 +356,7 @@ class JaccardJoin:
     def _costs(self, docs: DataFrame) -> np.ndarray:
         """Shingles of all ``docs`` in each of CELLS ranges of the universe."""
         load = np.zeros(CELLS, np.int64)
-        for cell, n in docs.select("text").mapInArrow(_load(self.words, self.lower), "cell long, load long").groupBy("cell").agg(F.sum("load")).collect():
+        for cell, n in docs.select("text").mapInArrow(lean(_load(self.words, self.lower)), "cell long, load long").groupBy("cell").agg(F.sum("load")).collect():
             load[cell] = n
         return load
 
@@ -373,12 +374,12 @@ class JaccardJoin:
         large = sets.where("wide is not null")
         x, y = (large.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n"), F.col("wide").alias(f"{c}_wide")) for c in "ab")
         both = pairs.join(x, "a", "left").join(y, "b", "left").select("a", "b", "a_n", "b_n", "a_wide", "b_wide")
-        kept = ws.write(both.mapInArrow(_wide_bound(self.num, self.den), "a long, b long"), "pairs")
+        kept = ws.write(both.mapInArrow(lean(_wide_bound(self.num, self.den)), "a long, b long"), "pairs")
         need = ws.write(kept.select(F.col("a").alias("doc_id")).unionByName(kept.select(F.col("b").alias("doc_id"))).distinct(), "need")
         texts = ws.write(docs.join(self._narrow(need), "doc_id", "left_semi"), "texts")
         run, schema = _verify(self.words, self.lower, self.num, self.den)
         both = kept.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-        links = ws.write(both.select("a", "b", "x", "y").mapInArrow(run, schema), "links")
+        links = ws.write(both.select("a", "b", "x", "y").mapInArrow(lean(run), schema), "links")
         ws.drop(kept, need, texts)
         return links
 
@@ -388,7 +389,7 @@ class JaccardJoin:
         ws = Workspace(spark, "jaccard")
         docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         run, schema = _digest(self.words, self.lower)
-        sets = ws.write(docs.mapInArrow(run, schema), "sets")
+        sets = ws.write(docs.mapInArrow(lean(run), schema), "sets")
         same = ["n", "f1", "f2"]
         classes = ws.write(sets.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("class_id")), "classes")
         classed = ws.write(sets.select("doc_id", *same).join(classes, same, "left").select("doc_id", "n", "class_id"), "classed")
@@ -396,8 +397,8 @@ class JaccardJoin:
         single = docs.where("doc_id is not null").join(self._narrow(copies), "doc_id", "left_anti").select("doc_id", "text")
         heads = sets.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         run, schema = _index(self.words, self.lower, self.num, self.den, self._costs(single))
-        keys = single.mapInArrow(run, schema).repartition("key").sortWithinPartitions("key", "id")
-        buckets = ws.write(keys.mapInArrow(_buckets, "key long, leader long, id long"), "buckets")
+        keys = single.mapInArrow(lean(run), schema).repartition("key").sortWithinPartitions("key", "id")
+        buckets = ws.write(keys.mapInArrow(lean(_buckets), "key long, leader long, id long"), "buckets")
         pairs = buckets.where("leader != id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
         links = self._links(pairs, heads, docs, ws)
         label = ws.write(components(links, ws), "components")
@@ -430,7 +431,7 @@ class JaccardJoin:
             dealt = rows.select("key", "id", "c", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
             dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "c").join(side, "id")
             dealt = dealt.select("key", "p", "q", "own", "id", "c", "n", "first", *(f"s{i}" for i in range(SKETCH)))
-            pairs = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_compare(self.num, self.den, every), "a long, b long").distinct()
+            pairs = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(lean(_compare(self.num, self.den, every)), "a long, b long").distinct()
             more = self._exact(pairs, heads, docs, ws)
             if not more.isEmpty():
                 links = ws.write(links.unionByName(more).distinct(), "links")

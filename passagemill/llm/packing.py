@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import lean
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 KNOWN_CHUNKS = 500_000  # encoded chunks that a worker keeps
 LONG_CHUNK = 2000  # characters from which a chunk goes to the tokenizers library
@@ -253,4 +255,4 @@ def pack(docs: DataFrame, tokenizer: str | Callable[[], str], size: int = 1024,
         raise ValueError("size must be a power of two")
     path = tokenizer() if callable(tokenizer) else tokenizer
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(_pack(path, size, end_id), SCHEMA)
+    return chosen.mapInArrow(lean(_pack(path, size, end_id)), SCHEMA)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import lean
+
 KINDS = ["email", "ip", "card", "phone"]
 # The base patterns.
 _AT_LEFT = re.compile(r"[A-Za-z0-9._%+-]")
@@ -211,7 +213,7 @@ def examples_of(docs: DataFrame, most_docs: int = 20_000, most: int = 1500, id_c
     """
     some = docs.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(most_docs)
     rows = docs.join(F.broadcast(some), docs[id_col] == F.col("_id"), "left_semi").select(F.col(text_col).cast("string"))
-    got = rows.mapInArrow(_contexts, "text string, spans array<string>").distinct()
+    got = rows.mapInArrow(lean(_contexts), "text string, spans array<string>").distinct()
     order = [F.xxhash64("text"), "text"]
     held = got.where("size(spans) > 0").orderBy(*order).limit(most).unionByName(got.where("size(spans) = 0").orderBy(*order).limit(most)).collect()
     out = []
@@ -606,7 +608,7 @@ def detect(docs: DataFrame, model: Tagger | None = None, id_col: str = "doc_id",
     the one of the generated texts is used.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_detect(model or standard()), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(lean(_detect(model or standard())), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact(text: str, spans: dict[str, list[tuple[int, int]]]) -> str:
@@ -636,4 +638,4 @@ def _redact(model: Tagger):
 
 def redact_docs(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     """The rows of ``docs`` with the spans in column text replaced; null texts stay null, other columns and repeated rows as they are."""
-    return docs.mapInArrow(_redact(model or standard()), docs.schema)
+    return docs.mapInArrow(lean(_redact(model or standard())), docs.schema)

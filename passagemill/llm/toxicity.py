@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import lean
+
 # Groups of identity terms that can stand in for one another.
 IDENTITY = [
     "women men girls boys",
@@ -276,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = [F.xxhash64("doc_id"), "doc_id"]
     some = known.where("toxic = 1").orderBy(*order).limit(most_per_label).unionByName(known.where("toxic = 0").orderBy(*order).limit(most_per_label))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("toxic", "text")
-    got = rows.mapInArrow(_gather(groups), "toxic int, ids binary, pairs array<binary>").toArrow()
+    got = rows.mapInArrow(lean(_gather(groups)), "toxic int, ids binary, pairs array<binary>").toArrow()
     features = [np.frombuffer(x.as_py(), "<i4") for x in got["ids"]]
     order = sorted(range(len(features)), key=lambda i: features[i].tobytes())  # the same model whatever the order of rows
     toxic = got["toxic"].to_numpy()
@@ -300,7 +302,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Texts are read whole; repeated rows are scored each; extra columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"))
-    return rows.mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(_score(model)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def _keep(model: Model):
@@ -315,4 +317,4 @@ def _keep(model: Model):
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` (text in column text) that score below a half, all columns as they are; null and empty texts by the base score, repeated rows each."""
-    return docs.mapInArrow(_keep(model), docs.schema)
+    return docs.mapInArrow(lean(_keep(model)), docs.schema)
